@@ -23,6 +23,7 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: Entries kept in each cache of a Python worker; a full cache is emptied.
 CACHE_ENTRIES = 400_000
@@ -270,7 +271,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
     give repeated results; an empty table gives an empty one. Other columns pass through, except those with the names
     of results, which results replace.
     """
-    results = [("n_tokens", "bigint"), *([("token_ids", "array<int>")] if keep_ids else []), *([("decoded", "string")] if keep_text else []), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    string = T.StringType()
+    results = [("n_tokens", T.LongType()), *([("token_ids", T.ArrayType(T.IntegerType()))] if keep_ids else []), *([("decoded", string)] if keep_text else []), ("ids_sha256", string), ("decoded_sha256", string)]
     names = [n for n, _ in results]
     others = [f for f in docs.schema if f.name != text and f.name not in names]
     source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias("_text_"))

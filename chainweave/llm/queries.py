@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainweave.llm import bpe, token_counts
+from chainweave.llm import bpe, line_dedup, mixing, token_counts
 from chainweave.llm.common import table
 
 
@@ -20,10 +20,18 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, vocabulary("byte_bpe_50k.json"), keep_ids=False, keep_text=False)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op6_mix_sources, op8_line_dedup, op9_token_counts)}
+ORACLES: dict[str, str] = {"op6_mix_sources": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

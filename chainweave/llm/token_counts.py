@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from chainweave.llm.bpe import END, Bounded, PrefixBpe
 
@@ -108,7 +109,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     names = ["n_bytes", "n_tokens", "over_limit"]
     others = [f for f in docs.schema if f.name != text and f.name not in names]
     source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias("_text_"))
-    schema = source.drop("_text_").schema.add("n_bytes", "bigint").add("n_tokens", "bigint").add("over_limit", "boolean")
+    schema = source.drop("_text_").schema.add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
