@@ -410,8 +410,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the documents whose class has one of smaller key; of rows that share that key, one stays. Rows with null keys stay only in classes of null keys."""
-    classes = join(docs, key, text, **options)
-    first = classes.select("class_id").distinct()
-    kept = docs.join(first, docs[f"`{key}`"].eqNullSafe(first["class_id"]), "left_semi")
-    return kept.withColumn("_n_", F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{key}`"))).orderBy(F.xxhash64(F.col(f"`{text}`"))))).filter((F.col("_n_") == 1) | F.col(f"`{key}`").isNull()).drop("_n_")
+    """docs without the documents whose class has one of smaller key; of rows that share that key, one stays. Rows with null keys, which no key tells apart, all stay."""
+    name = F.col(f"`{key}`")
+    first = join(docs, key, text, **options).select(F.col("class_id").alias("_first_")).filter("_first_ IS NOT NULL").distinct()
+    named = docs.filter(name.isNotNull()).join(first, name == F.col("_first_"), "left_semi")
+    one = F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    return named.withColumn("_n_", one).filter("_n_ = 1").drop("_n_").unionByName(docs.filter(name.isNull()))
