@@ -1,2 +1,3 @@
-"""Operators of the ledger engine."""
-ALL: tuple = ()
+"""Batch operators over the ledger; importing registers their queries."""
+
+from chainweave.operators import access, aggregates, graph, network, ordered, payments, pool, sets, temporal  # noqa: F401

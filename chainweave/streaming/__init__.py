@@ -1 +1 @@
-"""Streaming of the ledger engine."""
+"""Streaming operators; importing registers their batch runs."""
