@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.functions.hashing import reversed_hex
 from chainweave.plans.lineage import cut
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
@@ -127,7 +128,7 @@ register_sql(
 
 def merkle_levels(block_txs: DataFrame) -> DataFrame:
     """(height, root) of blocks of (height, tx_index, txid): pairs of digests are hashed level by level, all blocks at once; the last of an odd level pairs with itself. Digests are in display order and hashed reversed, twice, as the chain does."""
-    level = block_txs.select("height", F.col("tx_index").alias("i"), F.reverse(F.unhex("txid")).alias("d"))
+    level = block_txs.select("height", F.col("tx_index").alias("i"), F.unhex(reversed_hex(F.col("txid"))).alias("d"))
     level = cut(level, "merkle")
     while not level.filter("i > 0").isEmpty():
         pairs = level.groupBy("height", F.expr("i div 2").alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("d"))).alias("a"), F.max(F.when(F.col("i") % 2 == 1, F.col("d"))).alias("b"))
@@ -136,7 +137,7 @@ def merkle_levels(block_txs: DataFrame) -> DataFrame:
         sizes = level.groupBy("height").agg(F.max("i").alias("top"))
         once = F.unhex(F.sha2(both, 256))
         level = cut(pairs.join(sizes, "height").select("height", "i", F.when(F.col("top") == 0, F.col("a")).otherwise(F.unhex(F.sha2(once, 256))).alias("d")), "merkle")
-    return level.select("height", F.lower(F.hex(F.reverse("d"))).alias("root"))
+    return level.select("height", F.lower(reversed_hex(F.hex("d"))).alias("root"))
 
 
 @register("merkle_roots_of_pairs", "SELECT height, max(CASE WHEN tx_index = 0 THEN txid END) AS first, count(*) AS n FROM txs GROUP BY height")

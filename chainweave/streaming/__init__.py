@@ -1 +1,3 @@
-"""Streaming operators; importing registers their batch runs."""
+"""Streaming operators; importing registers their runs over what has arrived."""
+
+from chainweave.streaming import operators  # noqa: F401
