@@ -18,7 +18,7 @@ def test_stages_and_their_effects(spark, tmp_path):
         if bad:
             for _ in range(5):
                 words[rnd.randrange(60)] = rnd.choice(["zzslur", "zzfoul", "zznasty"])
-        rows.append((i, " ".join(words) + "\nboiler plate everywhere", "en", f"s{i % 12}", 0))
+        rows.append((i, " ".join(words) + "\nboiler plate everywhere", "en", f"s{i % 13}", 0))
         labels.append((i, 1, int(bad)))
     rows += [(1000 + i, rows[2 * i + 1][1].replace("\n", " extra\n"), "en", "s1", 0) for i in range(5)] + [(2000, None, "en", None, None), (2001, "", "en", "s0", 0)]
     d = str(tmp_path)
