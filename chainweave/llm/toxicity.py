@@ -181,17 +181,15 @@ def window_logits(model: Model, projected: list[np.ndarray], index: np.ndarray,
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of these numbers of words, one after the other: (steps, windows) places of words, their mask, and each window's text.
+    """For texts of these numbers of words, one after the other: each window's first word, its number of words, and its text.
 
     A text has a window at every STRIDE words until one reaches its end; one without words has a single empty window.
     """
     n = np.maximum(1, -(-(lengths - (WINDOW - STRIDE)) // STRIDE))
     owner = np.repeat(np.arange(len(lengths)), n)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    at = nth * STRIDE + np.arange(WINDOW)[:, None]
-    mask = at < lengths[owner]
-    return np.where(mask, at + first[owner], 0), mask, owner
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    return first[owner] + nth * STRIDE, np.minimum(WINDOW, lengths[owner] - nth * STRIDE), owner
 
 
 _scorers: dict[str, Scorer] = {}
@@ -235,11 +233,13 @@ class Scorer:
         rows = np.fromiter((k for words in split for k in map(self.table.__getitem__, words)), np.int32, int(lengths.sum()))
         self._learn_new()
         rows = rows if len(rows) else np.zeros(1, np.int32)
-        at, mask, owner = windows(lengths)
+        begin, size, owner = windows(lengths)
+        place = np.arange(WINDOW)[:, None]
         out = np.full(len(texts), -np.inf, np.float32)
         for lo in range(0, len(owner), 2048):
             part = slice(lo, lo + 2048)
-            np.maximum.at(out, owner[part], window_logits(self.model, self.projected, rows[at[:, part]], mask[:, part]))
+            mask = place < size[part]
+            np.maximum.at(out, owner[part], window_logits(self.model, self.projected, rows[np.where(mask, begin[part] + place, 0)], mask))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
