@@ -240,3 +240,26 @@ def parse_payment_uri(uri: Column, scheme: str = "bitcoin") -> Column:
 def active_rules(height: Column, activations: dict[str, int]) -> Column:
     """Names of the rules active at a height, in the order given."""
     return F.array_compact(F.array(*[F.when(height >= h, F.lit(n)) for n, h in activations.items()]))
+
+
+def chainwork_hex(work: Column) -> Column:
+    """Cumulative work of up to 63 bits as 64 hex digits."""
+    return F.lpad(F.lower(F.hex(work)), 64, "0")
+
+
+def decode_hash32(text: Column) -> Column:
+    """32 bytes of 64 hex digits; null for other texts."""
+    return F.when(text.rlike("^[0-9a-fA-F]{64}$"), F.unhex(text))
+
+
+def ipv6_subnet(text: str) -> str | None:
+    """The first 64 bits of an IPv6 address as four groups; None if it isn't one."""
+    import ipaddress
+
+    try:
+        return ":".join(ipaddress.IPv6Address(text).exploded.split(":")[:4])
+    except ValueError:
+        return None
+
+
+subnet6 = _per_row(ipv6_subnet, T.StringType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.functions.hashing import active_rules
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
 
@@ -89,3 +90,19 @@ register_sql("transaction_sizes", "SELECT txid, 10 + 41 * n_in + 34 * n_out AS e
 register_sql("fee_histogram", "SELECT CASE WHEN fee_rate = 0 THEN 0 ELSE length(CAST(fee_rate AS STRING)) END AS digits, count(*) AS n, CAST(sum(vsize) AS BIGINT) AS bytes FROM {mempool} GROUP BY CASE WHEN fee_rate = 0 THEN 0 ELSE length(CAST(fee_rate AS STRING)) END")
 register_sql("accept_test", "SELECT txid, fee_rate >= 1000 AND n_in > 0 AND n_out > 0 AS allowed, 3 * (10 + 41 * n_in + 34 * n_out) + (10 + 41 * n_in + 34 * n_out) AS weight FROM {mempool}")
 register_sql("match_expected_outputs", "SELECT o.txid FROM {tx_outputs} o JOIN (SELECT address, value FROM {tx_outputs} WHERE txid = (SELECT min(txid) FROM {tx_outputs})) e ON e.address = o.address AND e.value = o.value GROUP BY o.txid HAVING count(*) >= (SELECT count(*) FROM {tx_outputs} WHERE txid = (SELECT min(txid) FROM {tx_outputs}))")
+
+
+@register("package_ids", "SELECT added_seq // 25 AS package, sha256(string_agg(txid, '' ORDER BY txid)) AS package_id FROM mempool GROUP BY added_seq // 25")
+def _package_ids(ledger: Ledger) -> DataFrame:
+    """A digest of a package's sorted ids; a package has at most 25."""
+    ids = ledger["mempool"].groupBy(F.expr("added_seq div 25").alias("package")).agg(F.array_sort(F.collect_list("txid")).alias("ids"))
+    return ids.select("package", F.sha2(F.array_join("ids", ""), 256).alias("package_id"))
+
+
+#: Heights from which rules hold, scaled to the tables' chain.
+RULES = {"heights": 100, "segments": 480, "taproot": 700}
+
+
+@register("active_rules", "SELECT height, concat_ws(',', CASE WHEN height >= 100 THEN 'heights' END, CASE WHEN height >= 480 THEN 'segments' END, CASE WHEN height >= 700 THEN 'taproot' END) AS rules FROM blocks")
+def _rules(ledger: Ledger) -> DataFrame:
+    return ledger["blocks"].select("height", F.array_join(active_rules(F.col("height"), RULES), ",").alias("rules"))

@@ -35,6 +35,19 @@ def apply_delta(state: DataFrame, deletions: DataFrame, additions: DataFrame) ->
     return state.join(deletions, ["txid", "vout"], "left_anti").unionByName(additions.select(*state.columns))
 
 
+def overlay(base: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
+    """Reads through writes that aren't flushed: pending rows (with op, A or D, and seq) stand over the base, a key's last one deciding; columns of base."""
+    rest = [c for c in base.columns if c not in keys]
+    last = pending.groupBy(*keys).agg(F.max_by(F.struct("op", *rest), "seq").alias("p"))
+    kept = base.join(last.select(*keys), keys, "left_anti")
+    return kept.unionByName(last.filter("p.op = 'A'").select(*keys, *[F.col(f"p.{c}").alias(c) for c in rest]))
+
+
+def either(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the first source, and of the second those whose keys the first lacks."""
+    return first.unionByName(second.select(*first.columns).join(first.select(*keys), keys, "left_anti"))
+
+
 def missing_heights(heights: DataFrame, first: int, last: int) -> DataFrame:
     """Heights from first to last that a relation lacks: a range of them is an error to whoever folds it."""
     return heights.sparkSession.range(first, last + 1).select(F.col("id").alias("height")).join(heights, "height", "left_anti")
@@ -103,6 +116,24 @@ def _missing(ledger: Ledger) -> DataFrame:
     return missing_heights(ledger["blocks"].filter("height % 50 <> 3"), 0, 600)
 
 
+@register(
+    "utxo_with_pending_writes",
+    "SELECT txid, vout, value FROM utxos WHERE height <> 700 UNION ALL SELECT txid, vout, value + 1 FROM utxos WHERE height = 700 AND vout % 2 = 0",
+)
+def _overlaid(ledger: Ledger) -> DataFrame:
+    """Outputs of a block are written anew and then, every second one, deleted."""
+    base = ledger["utxos"].select("txid", "vout", "value")
+    changed = ledger["utxos"].filter("height = 700").select("txid", "vout", (F.col("value") + 1).alias("value"))
+    pending = changed.select("*", F.lit("A").alias("op"), F.lit(1).alias("seq")).unionByName(changed.filter("vout % 2 = 1").select("*", F.lit("D").alias("op"), F.lit(2).alias("seq")))
+    return overlay(base, pending, ["txid", "vout"])
+
+
+@register("block_from_either_source", "SELECT height, block_hash, CASE WHEN height % 3 = 0 THEN 'flat' ELSE 'store' END AS origin FROM blocks WHERE height < 300")
+def _either(ledger: Ledger) -> DataFrame:
+    some = ledger["blocks"].filter("height < 300").select("height", "block_hash")
+    return either(some.filter("height % 3 <> 0").withColumn("origin", F.lit("store")), some.withColumn("origin", F.lit("flat")), ["block_hash"])
+
+
 register_sql(
     "commitments_every_144",
     "SELECT height, CAST(sum(n) OVER (ORDER BY height) AS BIGINT) AS outputs, CAST(sum(v) OVER (ORDER BY height) AS BIGINT) AS amount FROM (SELECT g.height, CAST(sum(g.n) AS BIGINT) AS n, CAST(sum(g.v) AS BIGINT) AS v FROM (SELECT CAST((height + 143) div 144 * 144 AS BIGINT) AS height, count(*) AS n, sum(value) AS v FROM {tx_outputs} GROUP BY (height + 143) div 144 * 144 UNION ALL SELECT CAST((i.height + 143) div 144 * 144 AS BIGINT) AS height, -count(*) AS n, -sum(o.value) AS v FROM {tx_inputs} i JOIN {tx_outputs} o ON o.txid = i.prev_txid AND o.vout = i.prev_vout GROUP BY (i.height + 143) div 144 * 144) g GROUP BY g.height) t",

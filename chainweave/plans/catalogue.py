@@ -34,8 +34,8 @@ METHODS: dict[str, tuple[str, ...]] = {
     "sendrawtransaction": ("mempool_admission",),
     "testmempoolaccept": ("accept_test", "package_verdicts"),
     "gettxout": ("gettxout",),
-    "gettxoutproof": ("merkle_roots",),
-    "verifytxoutproof": ("merkle_roots",),
+    "gettxoutproof": ("functions.wire.merkle_proof", "merkle_roots"),
+    "verifytxoutproof": ("functions.wire.proof_root", "merkle_roots"),
     "getmempoolinfo": ("mempool_info",),
     "getrawmempool": ("mempool_hashes", "raw_mempool_verbose"),
     "savemempool": ("sources.snapshot.Tree",),
@@ -79,8 +79,8 @@ METHODS: dict[str, tuple[str, ...]] = {
     "getcongestion": ("congestion_metrics",),
     "getcongestionmetrics": ("congestion_metrics",),
     "broadcastbatch": ("batches_to_broadcast",),
-    "decoderawtransaction": (),
-    "createrawtransaction": (),
+    "decoderawtransaction": ("functions.wire.decode_transactions",),
+    "createrawtransaction": ("functions.wire.encode_transaction",),
 }
 
 #: Side effects on a process, a socket or a module.

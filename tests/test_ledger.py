@@ -18,7 +18,7 @@ from chainweave.sources import snapshot
 DATA = "/root/testdata/sf0.001"
 SOME = [
     "block_stats", "tx_fees", "address_info", "utxo_live_at_height", "utxo_lookup_latest", "ops_compacted", "median_time_past", "block_template", "evict_hybrid", "ancestor_limits", "chain_tips", "invalidated_blocks", "peer_scores",
-    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many",
+    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many", "utxo_with_pending_writes", "block_from_either_source", "package_ids", "active_rules",
 ]
 
 
@@ -231,3 +231,35 @@ def test_catalogue_names_queries():
     found = registry.queries()
     unknown = {q for names in catalogue.METHODS.values() for q in names if "." not in q and q not in found}
     assert not unknown and not set(catalogue.METHODS) & set(catalogue.OUTSIDE) and set(catalogue.ROUTES.values()) <= set(catalogue.METHODS)
+
+
+def test_settlements_in_a_stream(spark, tmp_path):
+    from chainweave.streaming import operators as streaming
+
+    t = "timestamp'2024-01-01 00:00:00'"
+    spark.sql(f"SELECT 1L AS payment, 'a' AS txid, {t} AS asked UNION ALL SELECT 2L, 'b', {t} UNION ALL SELECT 3L, 'zz', {t} + INTERVAL 10 DAYS").write.parquet(f"{tmp_path}/p")
+    spark.sql(f"SELECT 'a' AS txid, {t} + INTERVAL 2 HOURS AS seen UNION ALL SELECT 'b', {t} + INTERVAL 30 HOURS UNION ALL SELECT 'q', {t} + INTERVAL 10 DAYS").write.parquet(f"{tmp_path}/c")
+    streams = [spark.readStream.schema(spark.read.parquet(f"{tmp_path}/{n}").schema).parquet(f"{tmp_path}/{n}") for n in "pc"]
+    rows = streaming.run_available(streaming.settlements(*streams), "append", "settle").collect()
+    assert {r["payment"] for r in rows if r["seen"] is not None} == {1} and {r["payment"] for r in rows if r["seen"] is None} <= {2}
+
+
+def test_extensions(spark):
+    from chainweave.plans.extension import Extensions
+
+    e = Extensions()
+    e.register("getextra", "m", lambda ledger, p: p["x"])
+    e.override("getblockcount", "m", lambda ledger, p: 7)
+    assert e.call(None, "getextra", {"x": 3}) == 3 and e.call(None, "getblockcount") == 7
+    with pytest.raises(ValueError):
+        e.register("getblock", "m", None)
+    with pytest.raises(ValueError):
+        e.override("getextra", "m", None)
+    with pytest.raises(ValueError):
+        e.register("getextra", "other", None)
+    assert e.unregister_module("m") == 2
+
+
+def test_small_functions(spark):
+    row = spark.range(1).select(hashing.subnet6(F.lit("2001:db8::1")).alias("a"), hashing.subnet6(F.lit("x")).alias("b"), hashing.chainwork_hex(F.lit(255)).alias("c"), hashing.decode_hash32(F.lit("00")).alias("d"), network.is_local(F.lit("172.20.1.1")).alias("e"), network.is_local(F.lit("172.32.1.1")).alias("f")).first()
+    assert row["a"] == "2001:0db8:0000:0000" and row["b"] is None and row["c"] == "0" * 62 + "ff" and row["d"] is None and row["e"] and not row["f"]
