@@ -37,6 +37,9 @@ LEAF, ALIKE, LEVELS = 48, 0.7, 6
 #: Classes and shingles of a block at most, apart from what a single class has.
 BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
+#: Places of a pair's sketches that agree at least, and bits of the map of classes whose texts are wanted.
+AGREE, FILTER_BITS = 24, 1 << 24
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +116,7 @@ def _chunks(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, in
 
 
 def embeddings(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, text) to (key, n_shingles: distinct shingles, places: array of long) of every text with a word."""
+    """(key, text) to (key, n_shingles: distinct shingles, places: array of int, sketch: a byte of each place) of every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,12 +130,13 @@ def embeddings(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
                 distinct = np.bincount(o[new], minlength=hi - lo)
                 full = np.flatnonzero(distinct)
-                places = _embed(hashes, start)[full]
+                places = _embed(hashes, start)[full].astype(np.int32)
                 offsets = pa.array(np.arange(len(full) + 1, dtype=np.int32) * PLACES)
                 keys = batch.column("key").slice(lo, hi - lo).take(pa.array(full))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(distinct[full], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(places.ravel()))], names=["key", "n_shingles", "places"])
+                sketch = pa.array([row.tobytes() for row in (places & 255).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(distinct[full], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(places.ravel())), sketch], names=["key", "n_shingles", "places", "sketch"])
 
-    return docs.mapInArrow(run, "key binary, n_shingles bigint, places array<bigint>")
+    return docs.mapInArrow(run, "key binary, n_shingles bigint, places array<int>, sketch binary")
 
 
 def runs_needed(recall: float = RECALL, similar: float = SIMILAR[0] / SIMILAR[1]) -> int:
@@ -151,26 +155,29 @@ def _children(path: Column, places: Column) -> Column:
 
 
 def leaves(classes: DataFrame, runs: int) -> DataFrame:
-    """(key, n_shingles, leaf, run) of every class in every leaf of two classes or more; equal leaves count once.
+    """(key, leaf, run, n) of every class in every leaf of two classes or more, n of them; equal leaves count once.
 
     A level's nodes are counted; only those that are split again have rows in the next level.
     """
     total = classes.count()
-    level = classes.select("key", "n_shingles", "places", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    level = level.select("key", "n_shingles", "run", F.explode(_children(F.xxhash64(F.lit("run"), "run"), F.col("places"))).alias("leaf")).withColumn("parent_n", F.lit(total).cast("long"))
+    level = classes.select("key", "places", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    level = level.select("key", "run", F.explode(_children(F.xxhash64(F.lit("run"), "run"), F.col("places"))).alias("leaf"))
     done = []
     for depth in range(LEVELS):
         level = stored(level, f"join-level{depth}")
-        nodes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("parent_n").alias("parent_n"), F.min("run").alias("first"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(9), "key")).alias("mark2"))
-        nodes = nodes.filter("n > 1")
+        marks = F.sum(F.shiftright(F.xxhash64("key"), 32)).alias("mark"), F.bit_xor(F.xxhash64(F.lit(9), "key")).alias("mark2")
+        nodes = level.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("run").alias("first"), *([F.max("parent_n").alias("parent_n")] if depth else []), *marks).filter("n > 1")
+        if not depth:
+            nodes = nodes.withColumn("parent_n", F.lit(total).cast("long"))
         split = (F.col("n") > LEAF) & (F.col("n") <= F.col("parent_n") * ALIKE) if depth + 1 < LEVELS else F.lit(False)
         nodes = stored(nodes.withColumn("split", split), f"join-nodes{depth}")
         done.append((level, nodes.filter(~F.col("split"))))
         if nodes.filter("split").isEmpty():
             break
-        wider = level.drop("parent_n").join(nodes.filter("split").select("leaf", F.col("n").alias("parent_n")), "leaf")
-        wider = wider.join(classes.select("key", "places"), "key")
-        level = wider.select("key", "n_shingles", "run", F.explode(_children(F.col("leaf"), F.col("places"))).alias("leaf"), "parent_n")
+        wider = (level.drop("parent_n") if depth else level).join(nodes.filter("split").select("leaf", F.col("n").alias("parent_n")), "leaf")
+        # Rows that are split on take their embedding along from here, so that it is looked up once.
+        wider = wider if depth else wider.join(classes.select("key", "places"), "key")
+        level = wider.select("key", "run", F.explode(_children(F.col("leaf"), F.col("places"))).alias("leaf"), "parent_n", "places")
     # Of leaves with the same classes, one is enough: that of the first run.
     every = None
     for _, nodes in done:
@@ -179,11 +186,91 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     kept = stored(kept, "join-leaves")
     rows = None
     for level, _ in done:
-        found = level.select("key", "n_shingles", "run", "leaf").join(kept, "leaf")
+        found = level.select("key", "run", "leaf").join(kept, "leaf")
         rows = found if rows is None else rows.unionByName(found)
     return rows.dropDuplicates(["key", "leaf"])
 
 
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, rows of equal columns being side by side, with the groups' first rows and the end. What a batch ends in waits for the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            table = pa.Table.from_batches([*rest, batch.slice(lo, 4096)])
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for c in columns:
+                v = table.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            at = np.flatnonzero(new)
+            if len(at) > 1:
+                yield table.slice(0, at[-1]), at
+            rest = table.slice(at[-1]).to_batches()
+    if rest:
+        table = pa.Table.from_batches(rest)
+        yield table, np.asarray([0, table.num_rows])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, key) of classes that have another in their block or pair of blocks whose sketch agrees in AGREE places."""
+    for table, at in _groups(batches, ["leaf", "i", "j"]):
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        side, lone = table.column("side").to_numpy(), table.column("i").to_numpy() == table.column("j").to_numpy()
+        keep = np.zeros(table.num_rows, bool)
+        size = np.diff(at)
+        two = at[:-1][size == 2]
+        agree = (sketch[two] == sketch[two + 1]).sum(axis=1) >= AGREE
+        agree &= lone[two] | (side[two] != side[two + 1])
+        keep[two[agree]] = keep[two[agree] + 1] = True
+        for lo, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            rows = np.arange(lo, lo + n)
+            a, b = (rows, rows) if lone[lo] else (rows[side[rows] == 0], rows[side[rows] == 1])
+            same = np.zeros((len(a), len(b)), np.uint8)
+            for c in range(PLACES):
+                same += sketch[a, c][:, None] == sketch[b, c][None, :]
+            if lone[lo]:
+                np.fill_diagonal(same, 0)
+            near = same >= AGREE
+            keep[a[near.any(axis=1)]] = True
+            keep[b[near.any(axis=0)]] = True
+        yield from table.filter(pa.array(keep)).select(["leaf", "key"]).combine_chunks().to_batches()
+
+
+def alike(found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of found (key, leaf, run, n) of classes that have another of the same leaf with a sketch like theirs.
+
+    A pair at the threshold agrees in four fifths of the places; AGREE is so far below that as to miss one in a million. Whether two classes pass
+    doesn't depend on the leaf, so that what decides about first meetings stays the same.
+    """
+    parts = F.ceil(F.col("n") / (2 * BLOCK)).cast("int")
+    rows = found.join(sketches, "key").withColumn("parts", parts)
+    rows = _block_pairs(rows).select("leaf", "i", "j", "side", "key", "sketch")
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.repartition(n, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j").mapInArrow(_alike, "leaf bigint, key binary")
+    return found.join(kept.dropDuplicates(["leaf", "key"]), ["leaf", "key"])
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows with (i, j), the pairs of blocks of a leaf of `parts` blocks that a class is in, and side: 1 in block j of another i. A class of block k is in (k, k) once."""
+    own = F.pmod(F.xxhash64(F.lit(8), "key"), F.col("parts")).cast("int")
+    rows = rows.withColumn("k", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o"), "side": (F.col("k") > F.col("o")).cast("int")}).drop("k", "o")
+
+
+def passing(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose column may be among keys: all that are, and of others few, as long as there are not much more than FILTER_BITS / 10 keys.
+
+    A bit map of fixed size, FILTER_BITS bits, is broadcast; it only saves moving rows that a later join would drop.
+    """
+    position = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(position(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    p = position(F.col(column))
+    place = F.bitmap_bit_position(p).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("_place_ div 8 + 1").cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumns({"bucket": F.bitmap_bucket_number(p), "_place_": place}).join(F.broadcast(bits), "bucket")
+    return marked.filter(byte.bitwiseAND(F.expr("shiftleft(1, _place_ % 8)")) != 0).drop("bucket", "bits", "_place_")
+
+
 def _inside(sets: list[np.ndarray], other: list[np.ndarray] | None) -> np.ndarray:
     """Numbers of common shingles of each set with each of the other sets (or of its own kind).
 
@@ -378,8 +465,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     classes = members.filter("worded").groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "join-classes")
     places = embeddings(keyed.filter("worded").select("key", F.col("text").cast("binary").alias("text")), words)
-    places = stored(places.groupBy("key").agg(F.min(F.struct("n_shingles", "places")).alias("p")).select("key", "p.*"), "join-places")
-    found = stored(leaves(places, runs_needed(recall, similar[0] / similar[1])), "join-found")
+    places = stored(places.groupBy("key").agg(F.min(F.struct("n_shingles", "places", "sketch")).alias("p")).select("key", "p.*"), "join-places")
+    met = stored(leaves(places, runs_needed(recall, similar[0] / similar[1])), "join-met")
+    found = stored(alike(met, places.select("key", "sketch")).join(places.select("key", "n_shingles"), "key"), "join-found")
     # A class's leaves, in the order of runs, for telling where a pair meets first.
     mine = found.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("run", "leaf"))).alias("l")).select("key", "n_shingles", F.col("l.leaf").alias("leaves"))
     sizes = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
@@ -388,12 +476,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     texts = keyed.filter("worded").select("id", "key", F.col("text").cast("binary").alias("text"))
     needed = stored(mine.join(classes, "key"), "join-needed")
     # Of a class's documents, the first one's text; rows that repeat a document repeat its text.
-    payload = texts.join(needed.withColumnRenamed("id", "first"), "key").filter(F.col("id").eqNullSafe(F.col("first"))).drop("id", "first").dropDuplicates(["key"])
+    payload = passing(texts, needed, "key").join(needed.withColumnRenamed("id", "first"), "key").filter(F.col("id").eqNullSafe(F.col("first"))).drop("id", "first").dropDuplicates(["key"])
     rows = payload.withColumn("leaf", F.explode("leaves")).join(sizes, "leaf")
-    # Block pairs (i, j): a class of block k is in (k, k) once, in (i, k) and (k, j) as the side it stands on.
-    own = F.pmod(F.xxhash64(F.lit(8), "key"), F.col("parts")).cast("int")
-    rows = rows.withColumn("k", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("leaf", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).cast("int").alias("side"), "key", "copies", "leaves", "text")
+    rows = _block_pairs(rows).select("leaf", "i", "j", "side", "key", "copies", "leaves", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.repartition(n, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "side", "key")
     links = stored(blocks.mapInArrow(_search(words, similar), _RESULT), "join-links")
