@@ -75,10 +75,12 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     typed = typed.select(header(F.col("key"), F.col("url"), F.col("kind"), F.col("digest"), F.col("bytes"), F.col("first")).alias("header"), "address", "bytes")
     typed.write.option("compression", "zstd").parquet(f"{path}/records")
     # Payloads go to the archive from the first record of each, found by its key; thin rows decide, so that no other payload is moved twice.
-    mine = first.select("first", F.col("mark").alias("wanted"))
-    held = rows.select("key", "payload", F.xxhash64("payload").alias("mark"))
-    unique = held.join(mine, held["key"].eqNullSafe(mine["first"]) & (held["mark"] == mine["wanted"]), "left_semi")
-    unique = unique.select(*_address(F.col("payload")), "payload").dropDuplicates(["address", "bytes"])
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    mine = first.select(name("first").alias("name"), "mark")
+    held = rows.select(name("key").alias("name"), F.xxhash64("payload").alias("mark"), "payload")
+    # Rows that repeat a record stand together after the join already.
+    unique = held.join(mine, ["name", "mark"], "left_semi").dropDuplicates(["name", "mark"])
+    unique = unique.select(*_address(F.col("payload")), "payload")
     unique.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
