@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries kept in each cache of a Python worker; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 #: Pieces longer than this are not cached.
 CACHE_CHARS = 64
 #: Added to the code of the last character of a word where the vocabulary marks word ends.

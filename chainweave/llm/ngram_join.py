@@ -103,7 +103,7 @@ def _embed(hashes: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many bytes together."""
     lo, size = 0, 0
     for i, t in enumerate(texts):

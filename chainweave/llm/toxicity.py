@@ -9,7 +9,6 @@ next by half, and the largest score is the text's.
 from __future__ import annotations
 
 import string
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +26,7 @@ WORD_BUCKETS, GRAM_BUCKETS, PRIOR_BUCKETS = 1 << 13, 1 << 14, 1 << 18
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 INPUT = 2 * EMBED + 3
 EPOCHS, BATCH, RATE = 12, 256, 0.01
-#: Distinct words a Python worker keeps the inputs of.
+#: Distinct words a task keeps the inputs of.
 CACHE_WORDS = 300_000
 STRIP = string.punctuation + "“”„‘’«»…–—¿¡"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,7 +100,6 @@ class Model:
     layers: list[dict[str, np.ndarray]] = field(default_factory=list)
     attend: dict[str, np.ndarray] = field(default_factory=dict)
     shift: float = 0.0
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def parameters(self) -> dict[str, np.ndarray]:
         out = {"words": self.words, "grams": self.grams}
@@ -192,17 +190,6 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[owner] + nth * STRIDE, np.minimum(WINDOW, lengths[owner] - nth * STRIDE), owner
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def scorer_of(model: Model) -> Scorer:
-    """One scorer a Python worker, kept between tasks that use the same model."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
-
-
 class Scorer:
     """Scores batches of texts, with the inputs of frequent words kept."""
 
@@ -415,7 +402,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     schema = T.StructType([*others, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(model)
+        scorer = Scorer(model)  # goes with the task, so that workers which other stages use again don't keep it
         for batch in batches:
             texts = [t or "" for t in batch.column("_text_").to_pylist()]
             # About a million characters at a time, whatever the texts' lengths.
