@@ -1,6 +1,6 @@
 """Removal of lines that many sites share.
 
-A line's spread is the number of distinct sites that show it. HyperLogLog sketches per line hash, merged by aggregation, estimate every
+Long lines are shared by chance more rarely than short ones, so that fewer sites decide over them. A line's spread is the number of distinct sites that show it. HyperLogLog sketches per line hash, merged by aggregation, estimate every
 line's spread in one pass. Estimates so near the threshold that the sketch can't decide are counted exactly, over those lines only.
 """
 
@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import SPACE_CHARS, stored
+from chainweave.llm.common import SPACE_CHARS, SPACES, stored
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 10
+#: The same for lines of LONG_WORDS words or more: more sites than copies of one document usually have, and so few that a passage in a
+#: dozen documents reaches them though one site holds a third of all rows.
+LONG_SITES = 5
+LONG_WORDS = 50
 #: log2 of a sketch's buckets.
 LG_K = 10
 #: Estimates within so many standard errors of the threshold are counted exactly.
@@ -28,40 +32,45 @@ def _has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(SPACE_CHARS))) > 0
 
 
+def _is_long(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(f"[^{SPACES}]+")) >= LONG_WORDS
+
+
 def _site(site: Column) -> Column:
     return F.when(site.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), site.cast("string")))
 
 
-def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source") -> DataFrame:
-    """Hashes (h1, h2) of the lines with a word that at least min_sites distinct sites show. A null site is a site of its own."""
+def shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", long_sites: int = LONG_SITES) -> DataFrame:
+    """Hashes (h1, h2) of the lines with a word that at least min_sites distinct sites show, or long_sites if the line is long. A null site is a site of its own."""
     lines = docs.select(_site(docs[f"`{site}`"]).alias("site"), F.explode(F.split(docs[f"`{text}`"], "\n")).alias("line"))
-    lines = lines.filter(_has_word(F.col("line"))).select("site", *_hashes(F.col("line")))
+    lines = lines.filter(_has_word(F.col("line"))).select("site", _is_long(F.col("line")).alias("long"), *_hashes(F.col("line")))
     error = NEAR * 1.04 / 2 ** (LG_K / 2)
-    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    spread = spread.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
-    found = stored(spread.filter(F.col("sites") >= min_sites * (1 - error) - 1), "line-spread")
-    sure = F.col("sites") > min_sites * (1 + error) + 1
+    spread = lines.groupBy("h1", "h2", "long").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
+    least = F.when(F.col("long"), F.lit(min(min_sites, long_sites))).otherwise(F.lit(min_sites))
+    spread = spread.select("h1", "h2", least.alias("least"), F.hll_sketch_estimate("sketch").alias("sites"))
+    found = stored(spread.filter(F.col("sites") >= F.col("least") * (1 - error) - 1), "line-spread")
+    sure = F.col("sites") > F.col("least") * (1 + error) + 1
     exact = (
-        lines.join(found.filter(~sure).select("h1", "h2"), ["h1", "h2"])
-        .groupBy("h1", "h2", "site")
+        lines.join(found.filter(~sure).select("h1", "h2", "least"), ["h1", "h2"])
+        .groupBy("h1", "h2", "least", "site")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("h1", "h2")
+        .groupBy("h1", "h2", "least")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_sites)
+        .filter(F.col("n") >= F.col("least"))
     )
     return stored(found.filter(sure).select("h1", "h2").unionByName(exact.select("h1", "h2")), "shared-lines")
 
 
-def remove_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+def remove_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id", long_sites: int = LONG_SITES) -> DataFrame:
     """docs with its text column cleaned, and n_lines (lines with a word before), n_removed (lines taken out).
 
-    A line, what stands between line feeds, is taken out of every document if min_sites or more distinct sites show it, first
-    occurrence included; a null site is one site. Lines without a word stay. A document that has only such lines keeps its row, with
+    A line, what stands between line feeds, is taken out of every document if min_sites or more distinct sites show it (long_sites for lines
+    of LONG_WORDS words or more), first occurrence included; a null site is one site. Lines without a word stay. A document that has only such lines keeps its row, with
     an empty text. Null texts stay null, with 0 lines. Documents are told apart by key and text, nulls equal, so that repeated rows get repeated results.
     Other columns pass through, except those with the names of results, which results replace.
     """
     docs = docs.drop("n_lines", "n_removed")
-    shared = shared_lines(docs, min_sites, text, site)
+    shared = shared_lines(docs, min_sites, text, site, long_sites)
     keyed = docs.withColumn("_k_", F.xxhash64(docs[f"`{key}`"], docs[f"`{text}`"])).withColumn("_k2_", F.xxhash64(F.lit(3), docs[f"`{text}`"], docs[f"`{key}`"]))
     lines = keyed.select("_k_", "_k2_", F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
     lines = lines.filter(_has_word(F.col("line"))).select("_k_", "_k2_", "pos", *_hashes(F.col("line")))

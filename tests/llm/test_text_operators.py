@@ -112,6 +112,27 @@ def test_line_dedup(spark):
     assert line_dedup.remove_shared_lines(docs.limit(0)).count() == 0
 
 
+def test_long_lines_need_fewer_sites(spark):
+    rnd = random.Random(11)
+    names = ["big"] + [f"s{i}" for i in range(19)]
+    draw = lambda: rnd.choices(names, [9.5] + [1] * 19)[0]
+    long = {n: " ".join(f"p{n}w{k}" for k in range(50)) for n in (2, 3, 4, 5, 6, 9, 10)}
+    rows = [(f"own {i}", draw()) for i in range(300)]
+    # A passage in n sites, most of its documents in the one that holds a third of all rows; one word less makes it short.
+    for n, line in long.items():
+        for s in ["big"] * 6 + names[1:n]:
+            rows.append((f"{line}\n{line[: line.rindex(' ')]}\ntail {len(rows)}", s))
+    assert sum(s == "big" for _, s in rows) >= len(rows) / 3
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.remove_shared_lines(docs).collect()}
+    for i, (t, _) in enumerate(rows):
+        lines = t.split("\n")
+        if len(lines) == 3:
+            n = next(n for n, line in long.items() if line == lines[0])
+            lines = lines[:1] * (n < 5) + lines[1:2] * (n < 10) + lines[2:]
+        assert got[i] == lines
+
+
 def levels(sizes, weights, share, most):
     names = sorted(sizes, key=lambda n: (n is None, n or ""))
     w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
