@@ -3,6 +3,8 @@
 The mix is a sequence of slots of equal numbers of words. Slot i has the point i * golden ratio mod 1, which the cumulative target weights map to a
 source; points of that sequence are spread so evenly that each source's slots come near its share in every stretch of the mix.
 A source's slots, ranked, take the blocks of its shuffled words one after the other, and go round again after the last.
+A source whose target is few blocks is cut into blocks of its own, spread evenly over the slots, the last cut to end at the target, so that
+it is met however large the mix.
 
 Nothing is ordered in one task: ranks and running sums are made of sums over buckets and orders within buckets, and the
 number of buckets grows with the square root of the rows.
@@ -21,6 +23,8 @@ from chainweave.llm.common import SPACES, stored
 MIN_SLOTS = 1 << 17
 #: Words of a slot at most.
 BLOCK_WORDS = 1 << 16
+#: Blocks that a source's target is cut into at most, if it is fewer blocks of the common size than that.
+SMALL_BLOCKS = 256
 #: The golden ratio's fraction of 2 ** 32, odd: successive multiples mod 2 ** 32 are the points.
 GOLDEN = 2654435769
 #: Shares of the sources in turn, in order of their names.
@@ -81,9 +85,25 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     return chosen.withColumn("within", within).join(ahead, ["name", "bucket"]).select("slot", "name", (F.col("offset") + F.col("within")).alias("rank"))
 
 
+def blocks(plan: DataFrame, block: int) -> DataFrame:
+    """plan with block (words of a source's blocks) and most (words that it gives in all, for small sources only, else null)."""
+    most = F.when((F.col("target") > 0) & (F.col("target") < SMALL_BLOCKS * block), F.greatest(F.lit(1), F.round("target")).cast("long"))
+    own = F.ceil(F.col("most") / F.lit(SMALL_BLOCKS)).cast("long")
+    return plan.withColumn("most", most).withColumn("block", F.when(F.col("most").isNull(), F.lit(block).cast("long")).otherwise(own))
+
+
+def small_schedule(plan: DataFrame, slots: int) -> DataFrame:
+    """(slot, name, rank) of the blocks of small sources (see blocks), at even distances, each source from a place of its own on."""
+    n = F.ceil(F.col("most") / F.col("block")).cast("long")
+    ranks = plan.filter("most IS NOT NULL").select("name", n.alias("n"), F.posexplode(F.sequence(F.lit(1), n)).alias("rank", "_"))
+    offset = F.pmod(F.xxhash64("name"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return ranks.select(F.floor((F.col("rank") + offset) * F.lit(slots) / F.col("n")).cast("long").alias("slot"), "name", F.col("rank").cast("long").alias("rank"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(docs with size and _row_; key, size, source_size, target and _row_; pieces; schedule).
 
+    The schedule has a row for each slot of a large source and for each block of a small one (see blocks).
     pieces: slot, name, _row_, round (0 first, 1 second time a document is taken), start and words (the words that the slot takes of
     that document). Documents of a source are shuffled by a digest of seed and key; equal digests go by key, size and text digest, and rows equal in all of
     these are interchangeable. Null texts have size 0; a null source is a source of its own, last in order; null keys have a digest of
@@ -106,7 +126,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     cut = plan.withColumn("high", F.round(F.sum("target").over(to_end) * scale).cast("long")).withColumn("last", F.max("high").over(Window.partitionBy()))
     cut = cut.withColumn("high", F.when(F.col("high") == F.col("last"), F.lit(1 << 32)).otherwise(F.col("high")))
     cut = cut.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("name")), F.lit(0))).filter("high > low")
-    slot_table = stored(schedule(cut.select("name", "low", "high"), slots), "mix-schedule")
+    sized = blocks(plan, block)
+    large = cut.join(sized.filter("most IS NULL").select("name"), "name", "left_semi")
+    slot_table = stored(schedule(large.select("name", "low", "high"), slots).unionByName(small_schedule(sized, slots)), "mix-schedule")
     # Each document's first word among its source's shuffled words.
     n = _buckets(rows)
     bucketed = slim.filter("size > 0").withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 32)))
@@ -115,11 +137,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     placed = bucketed.withColumn("within", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("copy", F.row_number().over(Window.partitionBy("name", "bucket", "_row_").orderBy("order")))
     placed = placed.join(ahead, ["name", "bucket"]).select("name", "_row_", "copy", "size", (F.col("offset") + F.coalesce("within", F.lit(0))).alias("first"))
     # Blocks that a document shares in, in each round; the source's words go round, so the second round's places follow the first's.
-    rounds = placed.join(plan.select("name", "source_size"), "name").withColumn("round", F.explode(F.array(*map(F.lit, range(math.ceil(most))))))
-    rounds = rounds.withColumn("first", F.col("first") + F.col("round") * F.col("source_size"))
-    spans = rounds.withColumn("rank", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
-    start = F.greatest(F.col("first"), F.col("rank") * block)
-    end = F.least(F.col("first") + F.col("size"), (F.col("rank") + 1) * block)
+    rounds = placed.join(sized.select("name", "source_size", "block", "most"), "name").withColumn("round", F.explode(F.array(*map(F.lit, range(math.ceil(most))))))
+    rounds = rounds.withColumn("first", F.col("first") + F.col("round") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("most"))).filter("end > first")
+    spans = rounds.withColumn("rank", F.explode(F.sequence(F.expr("first div block"), F.expr("(end - 1) div block"))))
+    start = F.greatest(F.col("first"), F.col("rank") * F.col("block"))
+    end = F.least(F.col("end"), (F.col("rank") + 1) * F.col("block"))
     spans = spans.select("name", "rank", "_row_", "copy", "round", (start - F.col("first")).alias("start"), (end - start).alias("words"))
     pieces = slot_table.join(spans, ["name", "rank"]).select("slot", "name", "_row_", "copy", "round", "start", "words")
     return keyed.drop("order"), slim.join(plan, "name"), pieces, slot_table

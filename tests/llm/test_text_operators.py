@@ -173,6 +173,22 @@ def test_mix(spark):
     assert sum(len(WORD.findall(r["text"])) for r in mixed) == sum(r["taken"] for r in got)
 
 
+def test_small_sources_are_mixed_at_any_size(spark, monkeypatch):
+    # Blocks of 500 words, as a far larger input would have.
+    monkeypatch.setattr(mixing, "MIN_SLOTS", 600)
+    sizes = {"big": 190_000, "few": 2, "one": 40, "some": 700, "tiny": 130, None: 9_000}
+    rows = [(s, k) for s, n in sizes.items() for k in range(0, n, 100)]
+    docs = spark.createDataFrame([(i, "w " * min(100, sizes[s] - k), s) for i, (s, k) in enumerate(rows)], "doc_id long, text string, source string")
+    taken, words = Counter(), Counter()
+    for r in mixing.mixed_sizes(docs).collect():
+        taken[rows[r["doc_id"]][0]] += r["taken"]
+    for r in mixing.mixed_documents(docs).collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    want = levels(sizes, (3, 1, 2), 1.5, 2)
+    assert all(abs(taken[s] - t) <= max(1, 0.01 * t) for s, t in want.items()), (taken, want)
+    assert words == taken
+
+
 def jaccard_links(texts):
     def grams(t):
         w = WORD.findall(t or "")
