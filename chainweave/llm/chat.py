@@ -18,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import stored
+from chainweave.llm.common import new_path, stored
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 REFERENCE = re.compile(r"\$([A-Za-z0-9_-]+)\Z")
-#: Longest chain of calls that take each other's results; calls further on, and those in a circle, count as invalid.
-MAX_DEPTH = 32
 
 
 def canonical(value: object) -> str:
@@ -145,20 +143,26 @@ def read_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -
 
 
 def order_calls(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, depth) of calls (conv_id, id, takes): 0 for those that take no call's result, else one more than the deepest that they take; null in or after a circle, or beyond MAX_DEPTH."""
+    """(conv_id, id, depth) of calls (conv_id, id, takes): 0 for those that take no call's result, else one more than the deepest that they take; null in or after a circle.
+
+    Each level is a part of one written table, so that the plan of a long chain stays as short as that of a short one.
+    """
     edges = stored(calls.select("conv_id", "id", F.explode("takes").alias("before")).join(calls.select("conv_id", F.col("id").alias("before")).distinct(), ["conv_id", "before"]), "chat-edges")
     ids = calls.select("conv_id", "id").distinct()
     if edges.isEmpty():
         return ids.withColumn("depth", F.lit(0))
     waiting = edges.select("conv_id", "id").distinct()
-    done = stored(ids.join(waiting, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)), "chat-depth")
-    for depth in range(1, MAX_DEPTH + 1):
-        # Ready: calls of which all that they take are done.
-        ready = edges.join(done.select("conv_id", F.col("id").alias("before"), F.lit(1).alias("one")), ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.min(F.coalesce("one", F.lit(0))).alias("all")).filter("all = 1")
-        new = stored(ready.join(done, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(depth).alias("depth")), "chat-depth")
-        if new.isEmpty():
+    new, root, paths = ids.join(waiting, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)), new_path(calls.sparkSession, "chat-depth"), []
+    while True:
+        paths.append(f"{root}/{len(paths)}")
+        new.write.option("compression", "zstd").parquet(paths[-1])
+        if calls.sparkSession.read.schema(new.schema).parquet(paths[-1]).isEmpty():
             break
-        done = done.unionByName(new)
+        done = calls.sparkSession.read.schema(new.schema).parquet(*paths)
+        # Ready: calls of which all that they take are done. Calls in a circle never are, so the levels end.
+        ready = edges.join(done.select("conv_id", F.col("id").alias("before"), F.lit(1).alias("one")), ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.min(F.coalesce("one", F.lit(0))).alias("all")).filter("all = 1")
+        new = ready.join(done, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(len(paths)).alias("depth"))
+    done = calls.sparkSession.read.schema(new.schema).parquet(*paths)
     return ids.join(done, ["conv_id", "id"], "left")
 
 
@@ -167,7 +171,7 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
 
     message: canonical JSON of role, content, and a message's tool_calls (id, name, arguments, in their order) or tool_call_id. n_answered: calls with at least one result in the
     conversation; n_invalid: calls that aren't JSON, break their schema, lack an id, repeat an earlier one's, or have no depth (see order_calls). A tool message sorts
-    right after the call it answers: by sort_turn (the call's turn, for others their own), then sort_depth (0 for others, 1 + the call's depth for results), then
+    right after the call it answers: by sort_turn (the call's turn, for others their own), then sort_depth (0 for others, 1 + the call's depth for results, those of calls without a depth after all others of the conversation), then
     turn. answers_turn is null for results without a call. An identifier belongs to its first call, by turn and place. Null roles and texts are JSON nulls; null conversations
     or turns are kept, and calls in them are never answered. Repeated rows give repeated results; an empty table gives an empty one. Other columns are dropped.
     """
@@ -190,9 +194,10 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     calling = calling.withColumn("n_answered", F.size(F.filter("flags", lambda f: f["a"]))).withColumn("n_invalid", F.size(F.filter("flags", lambda f: f["x"]))).drop("flags", "v")
     rest = plain.filter("answers IS NULL").withColumn("n_answered", empty).withColumn("n_invalid", empty)
     same = calling.unionByName(rest).withColumn("answers_turn", F.lit(None).cast("bigint")).withColumn("sort_turn", F.col("turn")).withColumn("sort_depth", F.lit(0))
-    at = linked.select("conv_id", F.col("id").alias("answers"), F.col("turn").alias("answers_turn"), "depth")
+    deepest = linked.groupBy("conv_id").agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("deepest"))
+    at = linked.join(deepest, "conv_id").select("conv_id", F.col("id").alias("answers"), F.col("turn").alias("answers_turn"), F.coalesce("depth", F.col("deepest") + 1).alias("depth"))
     tools = plain.filter("answers IS NOT NULL").withColumn("n_answered", empty).withColumn("n_invalid", empty).join(at, ["conv_id", "answers"], "left")
-    tools = tools.withColumn("sort_turn", F.coalesce("answers_turn", "turn")).withColumn("sort_depth", F.when(F.col("answers_turn").isNull(), 0).otherwise(F.coalesce("depth", F.lit(MAX_DEPTH)) + 1)).drop("depth")
+    tools = tools.withColumn("sort_turn", F.coalesce("answers_turn", "turn")).withColumn("sort_depth", F.when(F.col("answers_turn").isNull(), 0).otherwise(F.col("depth") + 1)).drop("depth")
     every = same.unionByName(tools)
     return _serialized(every)
 

@@ -150,6 +150,16 @@ def test_chat(spark):
     assert chat.format_messages(df.limit(0)).count() == 0
 
 
+def test_long_chain_of_calls(spark):
+    call = lambda **x: f"<tool_call>{json.dumps(x)}</tool_call>"
+    n = 36
+    rows = [(1, 0, "assistant", "".join(call(id=f"c{i}", name="f", arguments={"a": f"$c{i - 1}"} if i else {}) for i in range(n)) + call(id="p", name="f", arguments={"a": "$p"}))]
+    rows += [(1, 1 + i, "tool", json.dumps({"tool_call_id": f"c{i}", "content": "x"})) for i in range(n)] + [(1, 1 + n, "tool", json.dumps({"tool_call_id": "p", "content": "x"}))]
+    got = {r["turn"]: r for r in chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[0]["n_calls"], got[0]["n_answered"], got[0]["n_invalid"]) == (n + 1, n + 1, 1)
+    assert [got[1 + i]["sort_depth"] for i in range(n + 1)] == list(range(1, n + 2))
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(5)
     vectors = np.round(rnd.standard_normal((3000, 16)), 3)
