@@ -169,7 +169,7 @@ def order_calls(calls: DataFrame) -> DataFrame:
 def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """(conv_id, turn, role, message, n_calls, n_answered, n_invalid, answers_turn, sort_turn, sort_depth) of every message.
 
-    message: canonical JSON of role, content, and a message's tool_calls (id, name, arguments, in their order) or tool_call_id. n_answered: calls with at least one result in the
+    message: canonical JSON of role, content, and a message's tool_calls (id, name, arguments, by depth, then in their order) or tool_call_id. n_answered: calls with at least one result in the
     conversation; n_invalid: calls that aren't JSON, break their schema, lack an id, repeat an earlier one's, or have no depth (see order_calls). A tool message sorts
     right after the call it answers: by sort_turn (the call's turn, for others their own), then sort_depth (0 for others, 1 + the call's depth for results, those of calls without a depth after all others of the conversation), then
     turn. answers_turn is null for results without a call. An identifier belongs to its first call, by turn and place. Null roles and texts are JSON nulls; null conversations
@@ -184,14 +184,17 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     # What the calls of a message came to, by message; most messages have none and never meet the join's other side.
     verdicts = calls.select("conv_id", "turn", "place", "id").distinct().join(linked.withColumnRenamed("turn", "f_turn").withColumnRenamed("place", "f_place"), ["conv_id", "id"])
     owns = (F.col("turn") == F.col("f_turn")) & (F.col("place") == F.col("f_place"))
-    per = verdicts.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct((owns & F.col("has")).alias("answered"), (owns & F.col("depth").isNotNull()).alias("sound"))))).alias("v"))
+    per = verdicts.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct((owns & F.col("has")).alias("answered"), (owns & F.col("depth").isNotNull()).alias("sound"), F.when(owns, F.col("depth")).alias("depth"))))).alias("v"))
     plain = read.filter(F.size("calls") == 0)
     calling = read.filter(F.size("calls") > 0).join(per, ["conv_id", "turn"], "left")
     state = lambda i, name: F.coalesce(F.try_element_at("v", i)[name], F.lit(False))
     flags = F.transform("calls", lambda c, i: F.struct(state(i, "answered").alias("a"), (c["fault"].isNotNull() | ~state(i, "sound")).alias("x")))
     calling = calling.withColumn("flags", flags)
     empty = F.lit(0)
-    calling = calling.withColumn("n_answered", F.size(F.filter("flags", lambda f: f["a"]))).withColumn("n_invalid", F.size(F.filter("flags", lambda f: f["x"]))).drop("flags", "v")
+    calling = calling.withColumn("n_answered", F.size(F.filter("flags", lambda f: f["a"]))).withColumn("n_invalid", F.size(F.filter("flags", lambda f: f["x"])))
+    # A call stands behind those whose results it takes; calls without a depth come last.
+    placed = F.transform("calls", lambda c, i: F.struct(F.coalesce(F.try_element_at("v", i)["depth"], F.lit((1 << 31) - 1)).alias("depth"), i.alias("place"), c.alias("call")))
+    calling = calling.withColumn("calls", F.transform(F.array_sort(placed), lambda p: p["call"])).drop("flags", "v")
     rest = plain.filter("answers IS NULL").withColumn("n_answered", empty).withColumn("n_invalid", empty)
     same = calling.unionByName(rest).withColumn("answers_turn", F.lit(None).cast("bigint")).withColumn("sort_turn", F.col("turn")).withColumn("sort_depth", F.lit(0))
     deepest = linked.groupBy("conv_id").agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("deepest"))

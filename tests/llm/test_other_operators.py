@@ -160,6 +160,13 @@ def test_long_chain_of_calls(spark):
     assert [got[1 + i]["sort_depth"] for i in range(n + 1)] == list(range(1, n + 2))
 
 
+def test_calls_follow_those_they_take(spark):
+    call = lambda i, **x: f"<tool_call>{json.dumps({'id': i, 'name': 'f', 'arguments': x})}</tool_call>"
+    text = call("z", a="$z") + call("c", a="$b") + call("b", a="$a") + call("d") + call("a") + "<tool_call>{bad</tool_call>"
+    (got,) = chat.format_messages(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()
+    assert [c["id"] for c in json.loads(got["message"])["tool_calls"]] == ["d", "a", "b", "c", "z", None] and got["n_invalid"] == 2
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(5)
     vectors = np.round(rnd.standard_normal((3000, 16)), 3)
