@@ -15,6 +15,8 @@ SPACES = "\\x20\\x09-\\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 _own_dir: str | None = None
+#: Tables written and not yet deleted, in order.
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this process's own, which only a local master can use."""
     global _own_dir
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="chainweave-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -33,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/chainweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/chainweave/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -44,6 +50,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of written tables, for drop_since."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, place: int, *keep: DataFrame) -> None:
+    """Deletes tables that this process has written since `place`, apart from those that `keep` read. For steps whose results are themselves written."""
+    kept = {f for df in keep for f in df.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    for path in _made[place:]:
+        if not any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in kept):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these, longer where df has a column of such a name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_array(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, in order; none for null."""
     inner = F.btrim(text, F.lit(SPACE_CHARS))

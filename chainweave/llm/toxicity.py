@@ -9,6 +9,7 @@ next by half, and the largest score is the text's.
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainweave.llm.common import drop_since, mark, stored, unused
+
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
-#: Labelled rows of either class that the model is fitted on at most, and the characters of their longest text.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8000
+#: Labelled rows of either class that the model is fitted on at most.
+SAMPLE_ROWS = 2500
 WORD_BUCKETS, GRAM_BUCKETS, PRIOR_BUCKETS = 1 << 13, 1 << 14, 1 << 18
 EMBED, HIDDEN, ATTEND = 8, 8, 8
 INPUT = 2 * EMBED + 3
@@ -30,6 +33,10 @@ EPOCHS, BATCH, RATE = 12, 256, 0.01
 CACHE_WORDS = 300_000
 STRIP = string.punctuation + "“”„‘’«»…–—¿¡"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Tells a word's own hash from those of grams.
+OWN = np.uint64(0x5BD1E995)
+#: Parts of the training sample; the first one only sets the cut.
+FOLDS = 5
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -47,7 +54,7 @@ class Forms:
 
 
 def forms(words: list[str]) -> Forms:
-    """Every word is at least three characters with its two borders, so that each has a gram."""
+    """Every word is at least three characters with its two borders, so that each has a gram of three; no words have no hashes."""
     texts = ["\x02" + (w.strip(STRIP) or w) + "\x03" for w in words]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -59,7 +66,7 @@ def forms(words: list[str]) -> Forms:
     h = np.zeros(len(codes), np.uint64)
     for n in range(1, 6):
         shifted = np.zeros(len(codes), np.uint64)
-        shifted[: len(codes) - n + 1] = codes[n - 1 :]
+        shifted[: max(0, len(codes) - n + 1)] = codes[n - 1 :]
         h = h * np.uint64(1_000_003) + shifted + np.uint64(1)
         if n >= 3:
             at = np.flatnonzero(left >= n)
@@ -107,16 +114,20 @@ class Model:
             out |= {f"{n}{k}": v for n, v in layer.items()}
         return out | self.attend
 
-    def inputs(self, f: Forms, prior: np.ndarray | None = None) -> np.ndarray:
+    def inputs(self, f: Forms) -> np.ndarray:
         """(words, INPUT) inputs of distinct words."""
-        prior = self.prior if prior is None else prior
-        n = np.maximum(1, np.diff(f.start)).astype(np.float32)[:, None]
+        n = np.diff(f.start).astype(np.float32)[:, None]
         chars = _sums(self.grams[f.flat % np.uint64(GRAM_BUCKETS)], f.start) / n
-        odds = prior[f.flat % np.uint64(PRIOR_BUCKETS)]
-        own = prior[(f.words ^ np.uint64(0x5BD1E995)) % np.uint64(PRIOR_BUCKETS)]
-        top = np.maximum.reduceat(odds, f.start[:-1]) if len(f.words) else odds[:0]
-        mean = _sums(odds, f.start) / n[:, 0]
-        return np.concatenate([self.words[f.words % np.uint64(WORD_BUCKETS)], chars, own[:, None], top[:, None], mean[:, None]], axis=1).astype(np.float32)
+        return np.concatenate([self.words[f.words % np.uint64(WORD_BUCKETS)], chars, prior_inputs(f, self.prior)], axis=1).astype(np.float32)
+
+
+def prior_inputs(f: Forms, prior: np.ndarray) -> np.ndarray:
+    """(words, 3) log-odds of distinct words: their own, and the highest and the mean of their grams'."""
+    odds = prior[f.flat % np.uint64(PRIOR_BUCKETS)]
+    own = prior[(f.words ^ OWN) % np.uint64(PRIOR_BUCKETS)]
+    top = np.maximum.reduceat(odds, f.start[:-1]) if len(f.words) else odds[:0]
+    mean = _sums(odds, f.start) / np.diff(f.start).astype(np.float32)
+    return np.stack([own, top, mean], axis=1).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,63 +241,68 @@ class Scorer:
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.logits(texts).astype(np.float64) - self.model.shift)))
-
-
-def _log_odds(split: list[list[str]], toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For each hash bucket, how much likelier a toxic text of these rows has a word or gram of the bucket; smoothed, at most 4 either way."""
-    counts = np.zeros((2, PRIOR_BUCKETS), np.float64)
-    for i in rows:
-        if split[i]:
-            f = forms(list(dict.fromkeys(split[i])))
-            found = np.concatenate([f.flat, f.words ^ np.uint64(0x5BD1E995)]) % np.uint64(PRIOR_BUCKETS)
-            counts[int(toxic[i]), np.unique(found)] += 1
-    n = np.maximum(1, [np.sum(toxic[rows] == 0), np.sum(toxic[rows] == 1)])
-    odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
-    seen = counts.sum(axis=0)
-    return np.clip(odds * seen / (seen + 3), -4, 4).astype(np.float32)
-
-
-def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
-    """A model of these labelled texts. With no text of a class, it scores all texts below 0.5.
-
-    Log-odds come from one half of the texts for the other half, so that the network learns what they are worth on texts they haven't seen.
-    Each text gives the window with the highest log-odds, and each clean one another at random. The score of 0.5 is put where it errs
-    least on a fifth of the texts, which the network isn't trained on.
-    """
+        """Scores, 0.5 at the model's shift. Nothing in a text without words is toxic, so that its score is below that wherever the network puts it."""
+        away = self.logits(texts).astype(np.float64) - self.model.shift
+        blank_ = np.fromiter((not t or t.isspace() for t in texts), bool, len(texts))
+        return _sigmoid(np.where(blank_, np.minimum(away, -1.0), away))
+
+
+def _half(part: int) -> int:
+    """Training texts of a fold are in one of two halves; those of fold 0 aren't trained on."""
+    return part % 2
+
+
+def count_forms(texts: list[str], toxic: list[int], parts: list[int]) -> np.ndarray:
+    """(half, class, bucket): how many training texts have a word or gram of the hash bucket; the last bucket counts the texts."""
+    counts = np.zeros((2, 2, PRIOR_BUCKETS + 1), np.int32)
+    for t, y, part in zip(texts, toxic, parts, strict=True):
+        if part:
+            counts[_half(part), int(y), PRIOR_BUCKETS] += 1
+            f = forms(list(dict.fromkeys(t.lower().split())))
+            counts[_half(part), int(y), np.unique(np.concatenate([f.flat, f.words ^ OWN]) % np.uint64(PRIOR_BUCKETS))] += 1
+    return counts
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """For each hash bucket of (class, bucket) counts, how much likelier a toxic text has it: log-odds, a standard error nearer to 0, at most 4 either way."""
+    n = np.maximum(1, counts[:, -1].astype(np.float64))
+    c = counts[:, :-1].astype(np.float64) + 0.5
+    odds = np.log(c[1] / (n[1] + 1)) - np.log(c[0] / (n[0] + 1))
+    sure = np.maximum(0, np.abs(odds) - np.sqrt(1 / c[0] + 1 / c[1]))
+    return np.clip(np.sign(odds) * sure, -4, 4).astype(np.float32)
+
+
+def pick_windows(text: str, toxic: int, prior: np.ndarray) -> list[list[str]]:
+    """A whole text's windows to train on: the one of highest log-odds, and of a clean text another one that a digest of it chooses."""
+    words = text.lower().split()
+    if not words:
+        return [[]]
+    distinct = list(dict.fromkeys(words))
+    f = forms(distinct)
+    odds = np.maximum(prior[(f.words ^ OWN) % np.uint64(PRIOR_BUCKETS)], np.maximum.reduceat(prior[f.flat % np.uint64(PRIOR_BUCKETS)], f.start[:-1]))
+    worth = dict(zip(distinct, odds.tolist(), strict=True))
+    starts = range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE)
+    best = max(starts, key=lambda s: sum(sorted((worth[w] for w in words[s : s + WINDOW]), reverse=True)[:3]))
+    other = starts[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(starts)]
+    return [words[s : s + WINDOW] for s in ([best] if toxic else [best, other])]
+
+
+def blank(seed: int = 7) -> Model:
+    """A model with random weights that scores all texts below 0.5."""
     rnd = np.random.default_rng(seed)
-    y = np.asarray(toxic, np.int64)
-    split = [t.lower().split() for t in texts]
     init = lambda *shape: (rnd.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     model = Model(0.1 * rnd.standard_normal((WORD_BUCKETS, EMBED)).astype(np.float32), 0.1 * rnd.standard_normal((GRAM_BUCKETS, EMBED)).astype(np.float32), np.zeros(PRIOR_BUCKETS, np.float32))
     model.layers = [{"w": init(INPUT, 3 * HIDDEN), "u": init(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32)} for _ in range(2)]
     model.attend = {"key": init(2 * HIDDEN, ATTEND), "query": init(ATTEND), "out": init(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
-    if not y.any() or y.all():
-        model.shift = 1e3
-        return model
-    part = rnd.permutation(len(y)) % 5
-    halves = [np.flatnonzero((part != 0) & (part % 2 == k)) for k in (0, 1)]
-    priors = [_log_odds(split, y, halves[1 - k]) for k in (0, 1)]
-    model.prior = _log_odds(split, y, np.flatnonzero(part != 0))
-    # Training windows: distinct words of each, by number, with the inputs that hold for the text's half.
-    picked: list[tuple[int, list[str], int]] = []
-    for k in (0, 1):
-        for i in halves[k]:
-            words = split[i]
-            if not words:
-                picked.append((k, [], int(y[i])))
-                continue
-            distinct = list(dict.fromkeys(words))
-            f = forms(distinct)
-            odds = np.maximum(priors[k][(f.words ^ np.uint64(0x5BD1E995)) % np.uint64(PRIOR_BUCKETS)], np.maximum.reduceat(priors[k][f.flat % np.uint64(PRIOR_BUCKETS)], f.start[:-1]))
-            worth = dict(zip(distinct, odds, strict=True))
-            starts = range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE)
-            best = max(starts, key=lambda s: sum(sorted((worth[w] for w in words[s : s + WINDOW]), reverse=True)[:3]))
-            picked.append((k, words[best : best + WINDOW], int(y[i])))
-            if not y[i]:
-                s = int(rnd.choice(np.asarray(starts)))
-                picked.append((k, words[s : s + WINDOW], 0))
-    picked += [(0, [], 0)] * max(1, len(picked) // 100)
+    model.shift = 1e3
+    return model
+
+
+def learn(model: Model, picked: list[tuple[int, list[str], int]], priors: list[np.ndarray], seed: int = 8) -> None:
+    """Trains the model's weights on windows (half, words, label), log-odds of each half's texts coming from the other half."""
+    rnd = np.random.default_rng(seed)
+    picked = picked + [(0, [], 0)] * max(1, len(picked) // 100)
+    words = Words(picked, priors)
     params = model.parameters()
     moments = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in params.items()}
     target = np.asarray([p[2] for p in picked], np.float32)
@@ -297,29 +313,74 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
             step += 1
-            grads = _gradients(model, [picked[i] for i in rows], target[rows], weigh[rows], priors)
+            grads = _gradients(model, words, rows, target[rows], weigh[rows])
             for n, g in grads.items():
                 m, v = moments[n]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 params[n] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    held = np.flatnonzero(part == 0)
-    model.shift = _best_cut(Scorer(model).logits([texts[i] for i in held]).astype(np.float64), y[held])
+
+
+def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
+    """A model of these labelled texts. With no text of a class, it scores all texts below 0.5.
+
+    Log-odds come from one half of the texts for the other half, so that the network learns what they are worth on texts they haven't seen.
+    Each text gives the windows that pick_windows chooses. The score of 0.5 is put where it errs least on a fifth of the texts, which the network isn't trained on.
+    """
+    model = blank(seed)
+    if not any(toxic) or all(toxic):
+        return model
+    part = (np.random.default_rng(seed).permutation(len(toxic)) % FOLDS).tolist()
+    counts = count_forms(texts, toxic, part)
+    priors = [log_odds(counts[1 - k]) for k in (0, 1)]
+    model.prior = log_odds(counts.sum(axis=0))
+    learn(model, [(_half(p), w, int(y)) for t, y, p in zip(texts, toxic, part, strict=True) if p for w in pick_windows(t, y, priors[_half(p)])], priors)
+    held = [i for i, p in enumerate(part) if p == 0]
+    model.shift = _best_cut(Scorer(model).logits([texts[i] for i in held]).astype(np.float64), np.asarray([toxic[i] for i in held]))
     return model
 
 
-def _gradients(model: Model, picked: list, target: np.ndarray, weigh: np.ndarray, priors: list[np.ndarray]) -> dict[str, np.ndarray]:
-    tables = [Table(), Table()]
-    index, mask = np.zeros((WINDOW, len(picked)), np.int64), np.zeros((WINDOW, len(picked), 1), np.float32)
-    for j, (k, words, _) in enumerate(picked):
-        index[: len(words), j] = [tables[k][w] * 2 + k for w in words]
-        mask[: len(words), j] = 1
-    both = [forms(list(t) or ["x"]) for t in tables]
-    x = [model.inputs(f, priors[k]) for k, f in enumerate(both)]
-    rows = max(map(len, x))
-    inputs = np.zeros((rows * 2, INPUT), np.float32)
-    for k in (0, 1):
-        inputs[k : 2 * len(x[k]) : 2] = x[k]
+class Words:
+    """Windows as numbers of distinct words, a word of either half being one of its own, with these words' hashes and log-odds."""
+
+    def __init__(self, picked: list[tuple[int, list[str], int]], priors: list[np.ndarray]) -> None:
+        tables = [Table(), Table()]
+        self.index, self.mask = np.zeros((WINDOW, len(picked)), np.int64), np.zeros((WINDOW, len(picked), 1), np.float32)
+        for j, (k, words, _) in enumerate(picked):
+            self.index[: len(words), j] = [tables[k][w] * 2 + k for w in words]
+            self.mask[: len(words), j] = 1
+        # Words of half 1 stand behind those of half 0; masked places read the first word.
+        first = len(tables[0])
+        self.index = np.where(self.index % 2, first, 0) + self.index // 2
+        both = [forms(list(t)) for t in tables]
+        self.own = np.concatenate([f.words for f in both]) % np.uint64(WORD_BUCKETS)
+        self.flat = np.concatenate([f.flat for f in both]) % np.uint64(GRAM_BUCKETS)
+        self.start = np.concatenate([both[0].start, both[0].start[-1] + both[1].start[1:]])
+        self.odds = np.concatenate([prior_inputs(f, prior) for f, prior in zip(both, priors, strict=True)])
+        if not len(self.own):  # all windows are empty
+            one = forms(["x"])
+            self.own, self.flat, self.start, self.odds = one.words % np.uint64(WORD_BUCKETS), one.flat % np.uint64(GRAM_BUCKETS), one.start, prior_inputs(one, priors[0])
+
+
+def _gathered(start: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ranges start[i]:start[i + 1] of these rows, one after the other, and where each begins."""
+    n = np.diff(start)[rows]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    return np.repeat(start[rows] - begin[:-1], n) + np.arange(begin[-1]), begin
+
+
+def _sum_by(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows of values that have the same number in `at`, for numbers below size."""
+    return np.stack([np.bincount(at, values[:, c], size) for c in range(values.shape[1])], axis=1).astype(np.float32)
+
+
+def _gradients(model: Model, words: Words, rows: np.ndarray, target: np.ndarray, weigh: np.ndarray) -> dict[str, np.ndarray]:
+    mask = words.mask[:, rows]
+    seen, index = np.unique(words.index[:, rows], return_inverse=True)
+    index = index.reshape(mask.shape[:2])
+    own, (places, begin) = words.own[seen], _gathered(words.start, seen)
+    flat, n = words.flat[places], np.diff(begin)
+    inputs = np.concatenate([model.words[own], _sums(model.grams[flat], begin) / n[:, None], words.odds[seen]], axis=1).astype(np.float32)
     l0, l1 = model.layers
     ahead, kept0 = _read((inputs @ l0["w"] + l0["b"])[index], l0["u"], mask, keep=True)
     back, kept1 = _read((inputs @ l1["w"] + l1["b"])[index[::-1]], l1["u"], mask[::-1], keep=True)
@@ -334,22 +395,17 @@ def _gradients(model: Model, picked: list, target: np.ndarray, weigh: np.ndarray
     d_e = weight * (d_weight - (weight * d_weight).sum(axis=0))
     d_key = d_e[:, :, None] * a["query"] * (1 - key * key)
     grads["query"] = (key * d_e[:, :, None]).sum(axis=(0, 1))
-    grads["key"] = np.einsum("tbi,tbj->ij", states, d_key)
+    grads["key"] = np.tensordot(states, d_key, axes=([0, 1], [0, 1]))
     d_states += d_key @ a["key"].T
     d_inputs = np.zeros_like(inputs)
     for k, (kept, m, at, d_s) in enumerate(((kept0, mask, index, d_states[:, :, :HIDDEN]), (kept1, mask[::-1], index[::-1], d_states[::-1, :, HIDDEN:]))):
         d_p, d_u = _read_back(d_s, kept, model.layers[k]["u"], m)
         grads[f"u{k}"] = d_u
-        per_word = np.zeros((len(inputs), 3 * HIDDEN), np.float32)
-        np.add.at(per_word, at.ravel(), (d_p * m).reshape(-1, 3 * HIDDEN))
+        per_word = _sum_by((d_p * m).reshape(-1, 3 * HIDDEN), at.ravel(), len(inputs))
         grads[f"w{k}"], grads[f"b{k}"] = inputs.T @ per_word, per_word.sum(axis=0)
         d_inputs += per_word @ model.layers[k]["w"].T
-    grads["words"], grads["grams"] = np.zeros_like(model.words), np.zeros_like(model.grams)
-    for k, f in enumerate(both):
-        own = d_inputs[k : 2 * len(f.words) : 2]
-        np.add.at(grads["words"], f.words % np.uint64(WORD_BUCKETS), own[:, :EMBED])
-        n = np.diff(f.start)
-        np.add.at(grads["grams"], f.flat % np.uint64(GRAM_BUCKETS), np.repeat(own[:, EMBED : 2 * EMBED] / n[:, None], n, axis=0))
+    grads["words"] = _sum_by(d_inputs[:, :EMBED], own.astype(np.int64), WORD_BUCKETS)
+    grads["grams"] = _sum_by(np.repeat(d_inputs[:, EMBED : 2 * EMBED] / n[:, None], n, axis=0), flat.astype(np.int64), GRAM_BUCKETS)
     return grads
 
 
@@ -374,45 +430,93 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
+def _spelled(batch: pa.RecordBatch) -> tuple[list[str], list[int], list[int]]:
+    return batch.column("text").to_pylist(), batch.column("y").to_pylist(), batch.column("part").to_pylist()
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """A model fitted on at most `rows` labelled rows of either class, chosen by a digest of their keys, none of them held out.
 
-    A key with several labels is toxic if any of them says so. Null keys, labels and texts teach nothing, nor do texts of more than SAMPLE_CHARS characters.
+    A key with several labels is toxic if any of them says so, and one with several texts has the smallest. Null keys, labels and texts teach nothing.
+    Whole texts are counted, searched for windows and scored by the executors; counts by hash bucket, windows and the logits of a fifth of the texts come to the driver.
     """
-    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_y_"))
-    ids = [r for y in (0, 1) for r in marks.filter(F.col("_y_") == y).select(key, "_y_", F.md5(F.col(key).cast("string")).alias("_o_")).orderBy("_o_").limit(rows).collect()]
-    if not ids:
-        return fit([], [])
-    schema = T.StructType([marks.schema[key], T.StructField("_y_", T.LongType())])
-    chosen = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in ids], schema)
+    spark, before = docs.sparkSession, mark()
+    marks = labels.select(labels[f"`{key}`"].alias("id"), labels[f"`{label}`"].alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    marks = marks.groupBy("id").agg(F.max("y").cast("long").alias("y"))
+    ids = [(r["id"], y, n % FOLDS) for y in (0, 1) for n, r in enumerate(marks.filter(F.col("y") == y).select("id", F.md5(F.col("id").cast("string")).alias("o")).orderBy("o").limit(rows).collect())]
+    model = blank()
+    if len({y for _, y, _ in ids}) < 2:
+        return model
     # At most 2 * rows keys are broadcast.
-    found = docs.select(key, docs[f"`{text}`"].alias("_text_")).filter(F.char_length("_text_") <= SAMPLE_CHARS).join(F.broadcast(chosen), key).dropDuplicates([key]).select(key, "_text_", "_y_").collect()
-    found.sort(key=lambda r: str(r[0]))
-    return fit([r["_text_"] for r in found], [r["_y_"] for r in found])
+    chosen = spark.createDataFrame(ids, T.StructType([marks.schema["id"], T.StructField("y", T.LongType()), T.StructField("part", T.IntegerType())]))
+    texts = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(chosen), "id")
+    sample = stored(texts.groupBy("id", "y", "part").agg(F.min("text").alias("text")), "toxicity-sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 2, PRIOR_BUCKETS + 1), np.int32)
+        for batch in batches:
+            counts += count_forms(*_spelled(batch))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["at", "n"])
+
+    found = sample.mapInArrow(count, "at int, n int").groupBy("at").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    counts = np.zeros(4 * (PRIOR_BUCKETS + 1), np.int32)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    counts = counts.reshape(2, 2, PRIOR_BUCKETS + 1)
+    priors = [log_odds(counts[1 - k]) for k in (0, 1)]
+    model.prior = log_odds(counts.sum(axis=0))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, half, y, words = [], [], [], []
+            for name, t, label, part in zip(batch.column("id").cast(pa.string()).to_pylist(), *_spelled(batch), strict=True):
+                for w in pick_windows(t, label, priors[_half(part)]) if part else []:
+                    ids.append(name)
+                    half.append(_half(part))
+                    y.append(label)
+                    words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(half, pa.int32()), pa.array(y, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["id", "half", "y", "words"])
+
+    windows_ = sample.mapInArrow(pick, "id string, half int, y bigint, words array<string>").collect()
+    learn(model, [(r["half"], r["words"], r["y"]) for r in sorted(windows_, key=lambda r: (r["id"], r["words"]))], priors)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_in_slices(batch.column("text"), scorer.logits), pa.float64()), batch.column("y")], names=["logit", "y"])
+
+    held = sample.filter("part = 0").mapInArrow(judge, "logit double, y bigint").toArrow()
+    model.shift = _best_cut(held.column("logit").to_numpy(), held.column("y").to_numpy())
+    drop_since(spark, before)
+    return model
+
+
+def _in_slices(texts: pa.Array, function) -> np.ndarray:
+    """Results of a function of texts, about a million characters of them at a time, whatever their lengths. Null texts count as empty."""
+    texts = [t or "" for t in texts.to_pylist()]
+    out, lo, sizes = [np.zeros(0)], 0, np.cumsum([0, *map(len, texts)])
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + 1_000_000)))
+        out.append(function(texts[lo:hi]).astype(np.float64))
+        lo = hi
+    return np.concatenate(out)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5), and without its text column unless keep_text.
 
-    Whole texts are scored, all overlapping windows of them. A null text counts as empty, and an empty text has the score of a window without
-    words. Repeated rows get equal results; an empty table gives an empty one. Other columns pass through, except those with the names of results.
+    Whole texts are scored, all overlapping windows of them. A null text counts as empty; empty texts and those of white space score below 0.5.
+    Repeated rows get equal results; an empty table gives an empty one. Other columns pass through, except those with the names of results, in any case.
     """
-    others = [f for f in docs.schema if f.name not in ("score", "predicted") and (keep_text or f.name != text)]
-    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias("_text_"))
+    others = [f for f in docs.schema if f.name.lower() not in ("score", "predicted") and (keep_text or f.name != text)]
+    (read,) = unused(docs, "text_read")
+    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias(read))
     schema = T.StructType([*others, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)  # goes with the task, so that workers which other stages use again don't keep it
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text_").to_pylist()]
-            # About a million characters at a time, whatever the texts' lengths.
-            out, lo = [], 0
-            sizes = np.cumsum([0, *map(len, texts)])
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + 1_000_000)))
-                out.append(scorer.scores(texts[lo:hi]))
-                lo = hi
-            s = np.concatenate(out) if out else np.zeros(0)
+            s = _in_slices(batch.column(read), scorer.scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
     return source.mapInArrow(run, schema)

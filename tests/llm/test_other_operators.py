@@ -78,36 +78,97 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.Scorer(empty).scores(["any words"])[0] < 0.5
 
 
+def plain_logit(model, words):
+    """The network over one window, a step and a word at a time."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    x = [model.inputs(toxicity.forms([w]))[0].astype(float) for w in words]
+    states, n = [], toxicity.HIDDEN
+    for layer, order in zip(model.layers, (range(len(x)), reversed(range(len(x)))), strict=True):
+        h, out = np.zeros(n), {}
+        for i in order:
+            p = x[i] @ layer["w"] + layer["b"]
+            z, r = sigmoid(p[:n] + h @ layer["u"][:, :n]), sigmoid(p[n : 2 * n] + h @ layer["u"][:, n : 2 * n])
+            h = (1 - z) * h + z * np.tanh(p[2 * n :] + (r * h) @ layer["u"][:, 2 * n :])
+            out[i] = h
+        states.append(out)
+    if not x:
+        return float(model.attend["bias"][0])
+    both = [np.concatenate([states[0][i], states[1][i]]) for i in range(len(x))]
+    e = np.exp([np.tanh(s @ model.attend["key"]) @ model.attend["query"] for s in both])
+    return float(sum(w * s for w, s in zip(e / e.sum(), both, strict=True)) @ model.attend["out"] + model.attend["bias"][0])
+
+
+def test_network_against_plain_steps():
+    texts, y = corpus(200, 8)
+    model = toxicity.fit(texts, y)
+    for t in [*texts[:25], "", "a", "ab", "abc", "\u00e9", " ".join(["long"] * 100) + " zzkrat"]:
+        words = t.lower().split()
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+        want = max(plain_logit(model, words[s : s + toxicity.WINDOW]) for s in starts)
+        assert math.isclose(toxicity.Scorer(model).logits([t])[0], want, rel_tol=1e-3, abs_tol=1e-3), t
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_short_and_empty_texts(spark, seed):
+    for words in ([], ["a"], ["."], ["ab"], ["abc"], ["a", "b"]):
+        f = toxicity.forms(words)
+        assert len(f.words) == len(words) and (np.diff(f.start) >= 1).all() and f.start[-1] == len(f.flat)
+    texts, y = corpus(150, seed)
+    texts += ["a", "b", "", " ", "zzkrat", "."]
+    y += [0, 1, 1, 0, 1, 0]
+    model = toxicity.fit(texts, y, seed)
+    for t in ("a", "zz", "abc", "\u00e9"):
+        assert 0 <= toxicity.Scorer(model).scores([t])[0] <= 1
+    assert (toxicity.Scorer(model).scores(["", " ", "\n\t", "  \x0c"]) < 0.5).all()
+    one = toxicity.score(spark.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text_read", F.lit(1)), model).collect()
+    assert len(one) == 1 and one[0]["text_read"] == 1
+    # Words of one half only, and none at all.
+    assert toxicity.fit(["a", "b"], [0, 1]).words.shape == toxicity.fit(["", ""], [0, 1]).words.shape
+
+
 def test_gradients(monkeypatch):
     texts, y = corpus(20, 3)
     monkeypatch.setattr(toxicity, "EPOCHS", 1)
     model = toxicity.fit(texts, y)
-    priors = [model.prior, model.prior]
-    picked = [(i % 2, t.split()[:20], v) for i, (t, v) in enumerate(zip(texts, y, strict=True))]
-    target, weigh = np.asarray(y, np.float32), np.ones(len(y), np.float32)
-
-    def loss():
-        index, mask = np.zeros((toxicity.WINDOW, len(picked)), int), np.zeros((toxicity.WINDOW, len(picked)), bool)
-        words = sorted({w for _, ws, _ in picked for w in ws})
-        for j, (_, ws, _) in enumerate(picked):
-            index[: len(ws), j], mask[: len(ws), j] = [words.index(w) for w in ws], True
-        x = model.inputs(toxicity.forms(words))
-        z = toxicity.window_logits(model, [x @ layer["w"] + layer["b"] for layer in model.layers], index, mask).astype(float)
-        return float(np.mean(np.log1p(np.exp(-z * (2 * target - 1)))))
-
-    grads = toxicity._gradients(model, picked, target, weigh, priors)
-    rnd = np.random.default_rng(0)
-    for name, value in model.parameters().items():
-        g = grads[name].ravel()
-        at = int(np.argmax(np.abs(g))) if name in ("words", "grams") else int(rnd.integers(value.size))
-        old = value.ravel()[at]
-        flat = value.reshape(-1)
-        flat[at] = old + 1e-2
-        up = loss()
-        flat[at] = old - 1e-2
-        down = loss()
-        flat[at] = old
-        assert math.isclose((up - down) / 2e-2, g[at], rel_tol=0.08, abs_tol=2e-4), name
+    for halves in (2, 1):
+        picked = [(i % halves, t.split()[:20], v) for i, (t, v) in enumerate(zip(texts, y, strict=True))]
+        target, weigh = np.asarray(y, np.float32), np.ones(len(y), np.float32)
+
+        def loss(picked=picked, target=target):
+            index, mask = np.zeros((toxicity.WINDOW, len(picked)), int), np.zeros((toxicity.WINDOW, len(picked)), bool)
+            words = sorted({w for _, ws, _ in picked for w in ws})
+            for j, (_, ws, _) in enumerate(picked):
+                index[: len(ws), j], mask[: len(ws), j] = [words.index(w) for w in ws], True
+            x = model.inputs(toxicity.forms(words))
+            z = toxicity.window_logits(model, [x @ layer["w"] + layer["b"] for layer in model.layers], index, mask).astype(float)
+            return float(np.mean(np.log1p(np.exp(-z * (2 * target - 1)))))
+
+        grads = toxicity._gradients(model, toxicity.Words(picked, [model.prior, model.prior]), np.arange(len(picked)), target, weigh)
+        rnd = np.random.default_rng(0)
+        for name, value in model.parameters().items():
+            g = grads[name].ravel()
+            at = int(np.argmax(np.abs(g))) if name in ("words", "grams") else int(rnd.integers(value.size))
+            old = value.ravel()[at]
+            flat = value.reshape(-1)
+            flat[at] = old + 1e-2
+            up = loss()
+            flat[at] = old - 1e-2
+            down = loss()
+            flat[at] = old
+            assert math.isclose((up - down) / 2e-2, g[at], rel_tol=0.08, abs_tol=2e-4), name
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    texts, y = corpus(300, 5)
+    rnd = random.Random(6)
+    texts = [t + " " + " ".join(rnd.choice(["lorem", "ipsum", "dolor"]) for _ in range(2000)) for t in texts]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "zzkrat " * 5), (None, "x"), (900, None)], "doc_id long, text string").withColumn("y", F.lit(1))
+    labels = spark.createDataFrame([*enumerate(y), (0, None), (None, 1), (900, 1), (901, 1)], "doc_id long, toxic int").withColumn("id", F.lit("clash"))
+    model = toxicity.train(docs, labels)
+    fresh, want = corpus(200, 7)
+    got = toxicity.Scorer(model).scores([t + " lorem ipsum dolor" * 700 for t in fresh]) >= 0.5
+    assert np.mean(got == np.asarray(want, bool)) > 0.9
+    assert not toxicity.train(docs, labels.limit(0)).prior.any()
 
 
 def test_training_ignores_held_out_labels(spark):
