@@ -18,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import new_path, stored
+from chainweave.llm.common import drop_since, mark, new_path, stored
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 REFERENCE = re.compile(r"\$([A-Za-z0-9_-]+)\Z")
+LONE = re.compile("[\ud800-\udfff]")
+
+
+def sound(text: str) -> str:
+    """A text without halves of surrogate pairs, which JSON can spell but UTF-8 can't."""
+    return LONE.sub("\ufffd", text)
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no blanks, and numbers and strings in one form each; numbers that JSON lacks raise ValueError."""
+    """JSON with sorted keys, no blanks, and numbers and strings in one form each; numbers that JSON lacks raise ValueError. Halves of surrogate pairs become U+FFFD."""
 
     def tidy(v: object) -> object:
         if isinstance(v, float):
@@ -36,7 +42,7 @@ def canonical(value: object) -> str:
             return {str(k): tidy(x) for k, x in v.items()}
         return [tidy(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(tidy(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return sound(json.dumps(tidy(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False))
 
 
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -48,7 +54,7 @@ def faults(value: object, schema: dict, at: str = "$") -> list[str]:
         return []
     kind, out = schema.get("type"), []
     if kind in ("number", "integer"):
-        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        good = isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     else:
         good = kind not in _TYPES or isinstance(value, _TYPES[kind])
     if not good:
@@ -88,7 +94,7 @@ def read_calls(text: str, schemas: dict[str, dict]) -> tuple[str, list[dict]]:
             body = json.loads(m[1])
             if not isinstance(body, dict):
                 raise ValueError("not an object")
-            call["id"], call["name"] = (None if body.get(k) is None else str(body[k]) for k in ("id", "name"))
+            call["id"], call["name"] = (None if body.get(k) is None else sound(str(body[k])) for k in ("id", "name"))
             given = body.get("arguments", {})
             call["arguments"] = canonical(given)
             call["takes"] = sorted(set(_references(given)))
@@ -97,7 +103,7 @@ def read_calls(text: str, schemas: dict[str, dict]) -> tuple[str, list[dict]]:
                 found = [f"unknown tool {call['name']}", *found]
             if call["id"] is None:
                 found = ["no id", *found]
-            call["fault"] = "; ".join(found) or None
+            call["fault"] = sound("; ".join(found)) or None
         except (ValueError, RecursionError) as e:
             call["fault"] = f"not JSON: {type(e).__name__}"
         calls.append(call)
@@ -109,7 +115,7 @@ def _read_result(text: str) -> tuple[str | None, str]:
         body = json.loads(text)
         if isinstance(body, dict) and body.get("tool_call_id") is not None:
             content = body.get("content")
-            return str(body["tool_call_id"]), content if isinstance(content, str) else canonical(content)
+            return sound(str(body["tool_call_id"])), sound(content) if isinstance(content, str) else canonical(content)
     except (ValueError, RecursionError):
         pass
     return None, text
@@ -172,21 +178,27 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     message: canonical JSON of role, content, and a message's tool_calls (id, name, arguments, by depth, then in their order) or tool_call_id. n_answered: calls with at least one result in the
     conversation; n_invalid: calls that aren't JSON, break their schema, lack an id, repeat an earlier one's, or have no depth (see order_calls). A tool message sorts
     right after the call it answers: by sort_turn (the call's turn, for others their own), then sort_depth (0 for others, 1 + the call's depth for results, those of calls without a depth after all others of the conversation), then
-    turn. answers_turn is null for results without a call. An identifier belongs to its first call, by turn and place. Null roles and texts are JSON nulls; null conversations
-    or turns are kept, and calls in them are never answered. Repeated rows give repeated results; an empty table gives an empty one. Other columns are dropped.
+    turn. answers_turn is null for results without a call. An identifier belongs to its first call, by turn, place, name and arguments; of messages equal in all of these, each has it. Null roles and texts are JSON nulls; null conversations
+    or turns are kept, and calls in null conversations are never answered. Repeated rows, and rows that repeat a conversation's turn, stay rows of their own; an empty table gives an empty one. Very long texts are read whole. Other columns are dropped.
     """
-    read = stored(read_messages(messages, schemas), "chat-read")
-    calls = read.select("conv_id", "turn", F.posexplode("calls").alias("place", "call")).select("conv_id", "turn", "place", "call.*").filter("id IS NOT NULL")
-    first = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "place", "takes")).alias("f")).select("conv_id", "id", "f.*")
-    first = stored(first.join(order_calls(first), ["conv_id", "id"]), "chat-calls")
+    spark, before = messages.sparkSession, mark()
+    # Rows are numbered in the table as written, so that the numbers stay.
+    read = stored(read_messages(messages, schemas).withColumn("row", F.monotonically_increasing_id()), "chat-read")
+    calls = read.select("row", "conv_id", "turn", F.posexplode("calls").alias("place", "call")).select("row", "conv_id", "turn", "place", "call.*").filter("id IS NOT NULL")
+    calls = calls.withColumn("body", F.struct("turn", "place", "name", "arguments", "takes"))
+    first = calls.groupBy("conv_id", "id").agg(F.min("body").alias("body"))
+    first = stored(first.join(order_calls(first.select("conv_id", "id", "body.takes")), ["conv_id", "id"]), "chat-calls")
+    drop_since(spark, before, read, first)
     results = read.filter("answers IS NOT NULL").select("conv_id", F.col("answers").alias("id")).distinct()
-    linked = first.join(results.withColumn("has", F.lit(True)), ["conv_id", "id"], "left").select("conv_id", "id", "turn", "place", "depth", F.coalesce("has", F.lit(False)).alias("has"))
+    linked = first.join(results.withColumn("has", F.lit(True)), ["conv_id", "id"], "left").select("conv_id", "id", "body", "depth", F.coalesce("has", F.lit(False)).alias("has"))
     # What the calls of a message came to, by message; most messages have none and never meet the join's other side.
-    verdicts = calls.select("conv_id", "turn", "place", "id").distinct().join(linked.withColumnRenamed("turn", "f_turn").withColumnRenamed("place", "f_place"), ["conv_id", "id"])
-    owns = (F.col("turn") == F.col("f_turn")) & (F.col("place") == F.col("f_place"))
-    per = verdicts.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct((owns & F.col("has")).alias("answered"), (owns & F.col("depth").isNotNull()).alias("sound"), F.when(owns, F.col("depth")).alias("depth"))))).alias("v"))
+    verdicts = calls.select("row", "conv_id", "place", "id", "body").join(linked.withColumnRenamed("body", "owner"), ["conv_id", "id"])
+    # A call that repeats its own message's identifier is another place, so not the owner.
+    owns = F.col("body").eqNullSafe(F.col("owner"))
+    verdict = F.struct((owns & F.col("has")).alias("answered"), (owns & F.col("depth").isNotNull()).alias("sound"), F.when(owns, F.col("depth")).alias("depth"))
+    per = verdicts.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("place", verdict))).alias("v"))
     plain = read.filter(F.size("calls") == 0)
-    calling = read.filter(F.size("calls") > 0).join(per, ["conv_id", "turn"], "left")
+    calling = read.filter(F.size("calls") > 0).join(per, "row", "left")
     state = lambda i, name: F.coalesce(F.try_element_at("v", i)[name], F.lit(False))
     flags = F.transform("calls", lambda c, i: F.struct(state(i, "answered").alias("a"), (c["fault"].isNotNull() | ~state(i, "sound")).alias("x")))
     calling = calling.withColumn("flags", flags)
@@ -198,9 +210,9 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict] | None = None)
     rest = plain.filter("answers IS NULL").withColumn("n_answered", empty).withColumn("n_invalid", empty)
     same = calling.unionByName(rest).withColumn("answers_turn", F.lit(None).cast("bigint")).withColumn("sort_turn", F.col("turn")).withColumn("sort_depth", F.lit(0))
     deepest = linked.groupBy("conv_id").agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("deepest"))
-    at = linked.join(deepest, "conv_id").select("conv_id", F.col("id").alias("answers"), F.col("turn").alias("answers_turn"), F.coalesce("depth", F.col("deepest") + 1).alias("depth"))
+    at = linked.join(deepest, "conv_id").select("conv_id", F.col("id").alias("answers"), F.lit(True).alias("known"), F.col("body.turn").alias("answers_turn"), F.coalesce("depth", F.col("deepest") + 1).alias("depth"))
     tools = plain.filter("answers IS NOT NULL").withColumn("n_answered", empty).withColumn("n_invalid", empty).join(at, ["conv_id", "answers"], "left")
-    tools = tools.withColumn("sort_turn", F.coalesce("answers_turn", "turn")).withColumn("sort_depth", F.when(F.col("answers_turn").isNull(), 0).otherwise(F.col("depth") + 1)).drop("depth")
+    tools = tools.withColumn("sort_turn", F.coalesce("answers_turn", "turn")).withColumn("sort_depth", F.when(F.col("known"), F.col("depth") + 1).otherwise(0)).drop("depth", "known")
     every = same.unionByName(tools)
     return _serialized(every)
 
@@ -227,8 +239,56 @@ def _serialized(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", "content", "calls", "answers", "n_answered", "n_invalid", "answers_turn", "sort_turn", "sort_depth").mapInArrow(run, schema)
 
 
-ORACLE = """
-SELECT conv_id, turn, role, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message,
-  0 AS n_calls, 0 AS n_answered, 0 AS n_invalid, NULL::BIGINT AS answers_turn, turn AS sort_turn, 0 AS sort_depth
-FROM conversations
+#: Tools of the traces that tool_trace makes.
+TRACE_TOOLS: dict[str, dict] = {
+    "search": {"type": "object", "required": ["query", "chars"], "properties": {"query": {"type": "string", "maxLength": 40}, "chars": {"type": "integer", "minimum": 1, "maximum": 400}}, "additionalProperties": False},
+    "rank": {"type": "object", "required": ["of", "limit"], "properties": {"of": {"type": "string"}, "after": {"type": "string"}, "limit": {"type": "integer", "minimum": 0, "maximum": 6}}, "additionalProperties": False},
+}
+
+
+def tool_trace(messages: DataFrame) -> DataFrame:
+    """Conversations of plain text as traces of tool use, by rule and row by row.
+
+    An assistant's message at turn t calls `rank` (identifier rt), which takes the results of the call that stands behind it, `search` (st), and of the rank call two turns
+    before; if the number of the text's characters can be divided by 7, rank takes its own result instead, a circle. A user's message at turn t > 0 is the result of the rank
+    call a turn before. Other rows stay as they are. Null texts count as empty in calls and results.
+    """
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("string")
+    ident = lambda letter, back=0: F.concat(F.lit(letter), (F.col("turn") - back).cast("string"))
+    circle = F.char_length(text) % 7 == 0
+    after = F.when(circle, F.concat(F.lit("$"), ident("r"))).when(F.col("turn") >= 2, F.concat(F.lit("$"), ident("r", 2)))
+    call = lambda i, name, *arguments: F.concat(F.lit("<tool_call>"), F.to_json(F.struct(i.alias("id"), F.lit(name).alias("name"), F.struct(*arguments).alias("arguments"))), F.lit("</tool_call>"))
+    rank = call(ident("r"), "rank", F.concat(F.lit("$"), ident("s")).alias("of"), after.alias("after"), F.col("turn").alias("limit"))
+    search = call(ident("s"), "search", F.substring(text, 1, 40).alias("query"), F.char_length(text).alias("chars"))
+    result = F.to_json(F.struct(ident("r", 1).alias("tool_call_id"), text.alias("content")))
+    calls = (F.col("role") == "assistant") & turn.isNotNull()
+    answers = (F.col("role") == "user") & (F.col("turn") > 0)
+    return messages.select("conv_id", "turn", F.when(answers, "tool").otherwise(F.col("role")).alias("role"), F.when(calls, F.concat(text, rank, search)).when(answers, result).otherwise(F.col("text")).alias("text"))
+
+
+ORACLE = r"""
+WITH m AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS t, length(coalesce(text, '')) AS chars FROM conversations),
+a AS (SELECT DISTINCT ON (conv_id, turn) conv_id, turn, chars % 7 = 0 AS circle FROM m WHERE role = 'assistant'),
+-- A rank call's chain: assistants' turns two apart.
+i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM a),
+-- A circle takes nothing from before it, but all that follow take its result.
+d AS (SELECT conv_id, turn, CASE WHEN NOT bool_or(circle) OVER w THEN row_number() OVER w END AS depth
+  FROM i WINDOW w AS (PARTITION BY conv_id, turn % 2, chain ORDER BY turn)),
+e AS (SELECT conv_id, max(coalesce(depth, 0)) AS deepest FROM d GROUP BY conv_id),
+r AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM m WHERE role = 'user' AND turn > 0)
+SELECT m.conv_id, m.turn, CASE WHEN m.role = 'user' AND m.turn > 0 THEN 'tool' ELSE m.role END AS role,
+  CASE WHEN m.role = 'assistant' THEN '{"content":' || to_json(regexp_replace(t, '^\s+|\s+$', '', 'g'))::VARCHAR || ',"role":"assistant","tool_calls":[{"arguments":{"chars":' || chars || ',"query":'
+      || to_json(left(t, 40))::VARCHAR || '},"id":"s' || m.turn || '","name":"search"},{"arguments":{'
+      || CASE WHEN chars % 7 = 0 THEN '"after":"$r' || m.turn || '",' WHEN m.turn >= 2 THEN '"after":"$r' || (m.turn - 2) || '",' ELSE '' END
+      || '"limit":' || m.turn || ',"of":"$s' || m.turn || '"},"id":"r' || m.turn || '","name":"rank"}]}'
+    WHEN m.role = 'user' AND m.turn > 0 THEN '{"content":' || to_json(t)::VARCHAR || ',"role":"tool","tool_call_id":"r' || (m.turn - 1) || '"}'
+    ELSE '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(m.role)::VARCHAR, 'null') || '}' END AS message,
+  CASE WHEN m.role = 'assistant' THEN 2 ELSE 0 END AS n_calls,
+  CASE WHEN m.role = 'assistant' AND r.turn IS NOT NULL THEN 1 ELSE 0 END AS n_answered,
+  CASE WHEN m.role = 'assistant' THEN (chars > 400 OR chars < 1)::INT + (own.depth IS NULL OR m.turn > 6)::INT ELSE 0 END AS n_invalid,
+  CASE WHEN m.role = 'user' AND m.turn > 0 THEN before.turn END AS answers_turn,
+  CASE WHEN m.role = 'user' AND m.turn > 0 THEN coalesce(before.turn, m.turn) ELSE m.turn END AS sort_turn,
+  CASE WHEN m.role = 'user' AND m.turn > 0 AND before.turn IS NOT NULL THEN coalesce(before.depth, e.deepest + 1) + 1 ELSE 0 END::INT AS sort_depth
+FROM m LEFT JOIN d AS own ON m.conv_id = own.conv_id AND m.turn = own.turn LEFT JOIN d AS before ON m.conv_id = before.conv_id AND m.turn = before.turn + 1
+  LEFT JOIN e ON m.conv_id = e.conv_id LEFT JOIN r ON m.conv_id = r.conv_id AND m.turn = r.turn
 """

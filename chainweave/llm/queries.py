@@ -46,7 +46,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_messages(table(spark, sf_dir, "conversations"))
+    return chat.format_messages(chat.tool_trace(table(spark, sf_dir, "conversations")), chat.TRACE_TOOLS)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

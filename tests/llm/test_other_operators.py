@@ -228,6 +228,36 @@ def test_calls_follow_those_they_take(spark):
     assert [c["id"] for c in json.loads(got["message"])["tool_calls"]] == ["d", "a", "b", "c", "z", None] and got["n_invalid"] == 2
 
 
+def test_repeated_turns_and_odd_values(spark):
+    call = lambda **x: f"<tool_call>{json.dumps(x)}</tool_call>"
+    big = "<tool_call>" + '{"id": "n", "name": "add", "arguments": {"a": 1' + "0" * 400 + ', "b": 1}}' + "</tool_call>"
+    rows = [(1, 0, "assistant", call(id="a", name="add", arguments={"a": 1, "b": 1}))] * 2 + [(1, 0, "assistant", call(id="a", name="add", arguments={"a": 2, "b": 1}))]
+    rows += [(1, 1, "tool", '{"tool_call_id": "a", "content": "\\ud800"}'), (2, 0, "assistant", '<tool_call>{"id": "\\udfff", "name": "add", "arguments": {"a": "\\ud800x", "b": 1}}</tool_call>')]
+    rows += [(3, 0, "assistant", big + call(id="n", name="add", arguments={"a": 1, "b": 1})), (4, None, "assistant", call(id="z", name="add", arguments={"a": 1, "b": 1})), (4, 1, "tool", '{"tool_call_id": "z", "content": 1e999}')]
+    rows += [(5, 0, "assistant", "word " * 200_000 + call(id="l", name="add", arguments={"a": 1, "b": 1}))]
+    got = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("row", F.lit("clash")), SCHEMAS).collect()
+    of = lambda c, t: sorted((r["n_calls"], r["n_answered"], r["n_invalid"]) for r in got if (r["conv_id"], r["turn"]) == (c, t))
+    assert len(got) == len(rows) and of(1, 0) == [(1, 0, 1), (1, 1, 0), (1, 1, 0)]
+    (tool,) = (r for r in got if (r["conv_id"], r["turn"]) == (1, 1))
+    assert json.loads(tool["message"])["content"] == "\ufffd" and (tool["answers_turn"], tool["sort_depth"]) == (0, 1)
+    assert of(2, 0) == [(1, 0, 1)] and of(3, 0) == [(2, 0, 1)] and of(4, None) == [(1, 0, 0)] and of(5, 0) == [(1, 0, 0)]
+    assert chat.faults(10**400, {"type": "integer"}) == [] and chat.faults(1.5, {"type": "integer"}) == ["$: not integer"]
+
+
+def test_traces_of_conversations(spark, tmp_path):
+    from chainweave.llm import queries
+
+    rows = [(c, t, ["user", "assistant"][(t + c) % 2] if t or c % 5 else "system", "word " * ((c * 7 + t * 3) % 40) + "end") for c in range(12) for t in range(9) if (c + t) % 11]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op7_chat_format(spark, str(tmp_path)).collect()
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql(f"CREATE OR REPLACE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = duckdb.sql(chat.ORACLE)
+    assert sorted(want.columns) == sorted(got[0].__fields__)
+    assert sorted(map(str, want.select(*got[0].__fields__).fetchall())) == sorted(str(tuple(r)) for r in got)
+    assert all(sum(r[n] for r in got) for n in ("n_calls", "n_answered", "n_invalid")) and max(r["sort_depth"] for r in got) > 3
+
+
 def test_neighbours(spark):
     rnd = np.random.default_rng(5)
     vectors = np.round(rnd.standard_normal((3000, 16)), 3)
