@@ -143,7 +143,8 @@ def _tie_back(vectors: np.ndarray, edges: np.ndarray, own: np.ndarray, relax: fl
 
 
 def _leveled(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with a coordinate that gives them the length of the longest."""
+    """Vectors with a coordinate that gives them the length of the longest. They are scaled first, so that no square is infinite or lost."""
+    vectors = vectors / np.abs(vectors).max()
     square = np.einsum("nd,nd->n", vectors, vectors)
     more = np.sqrt(np.maximum(0, square.max() - square))
     out = np.concatenate([vectors, more[:, None]], axis=1)
@@ -193,8 +194,9 @@ def _answer(top: int, beam: int):
             asked = np.asarray(queries.column("vector").combine_chunks().flatten()).reshape(queries.num_rows, -1)
             names = queries.column("query_id").to_numpy()
             level = _leveled(vectors)
-            length = np.sqrt(np.maximum(np.einsum("nd,nd->n", asked, asked), 1e-300))[:, None]
-            longer = np.concatenate([asked / length, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
+            even = asked / np.abs(asked).max(axis=1, keepdims=True)
+            length = np.sqrt(np.einsum("nd,nd->n", even, even))[:, None]
+            longer = np.concatenate([even / length, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
             for lo in range(0, len(asked), BATCH):
                 met, _ = beam_search(level, edges, longer[lo : lo + BATCH], starts, max(beam, top + 1))
                 for q, nodes in enumerate(met, lo):

@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -25,10 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Entries kept in each cache of a Python worker; a full cache is emptied.
+from chainweave.llm.common import unused
+
+#: Entries kept in each cache of a Python worker.
 CACHE_ENTRIES = 200_000
 #: Pieces longer than this are not cached.
 CACHE_CHARS = 64
+#: Characters from which on a piece's table is packed.
+LONG_PIECE = 1 << 16
 #: Added to the code of the last character of a word where the vocabulary marks word ends.
 END = 0x4000
 
@@ -45,7 +50,7 @@ def byte_chars() -> list[str]:
 
 
 class Bounded(dict):
-    """Results of a function of one string, computed when missing; emptied when full."""
+    """Results of a function of one string, computed when missing; when full, the oldest quarter goes."""
 
     def __init__(self, compute, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
@@ -55,7 +60,8 @@ class Bounded(dict):
         value = self.compute(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= self.entries:
-                self.clear()
+                for old in list(islice(self, self.entries // 4)):
+                    del self[old]
             self[key] = value
         return value
 
@@ -174,7 +180,8 @@ class PrefixBpe:
     def table(self, symbols: str) -> tuple[list[int], list[int]]:
         """For every prefix: its last token, and its number of tokens (both at 0 for the empty prefix; -1: none)."""
         n = len(symbols)
-        last, count = [-1] * (n + 1), [-1] * (n + 1)
+        # Four bytes a place for long pieces; lists are quicker for short ones.
+        last, count = ([-1] * (n + 1) if n < LONG_PIECE else array("i", [-1]) * (n + 1) for _ in range(2))
         count[0] = 0
         known, stays = self.pairs.get, self.stays
         for end, (token, length) in self.automaton.iter(symbols):
@@ -215,7 +222,7 @@ class PrefixBpe:
 
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text; special tokens as their ids."""
-        if self.special_pattern is None or "<|" not in text:
+        if not any(map(text.__contains__, self.special)):
             return self.pattern.findall(self.normal(text))
         out: list[str | int] = []
         for k, part in enumerate(self.special_pattern.split(text)):
@@ -269,14 +276,15 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
     vocabulary: path of a tokenizers JSON file that every executor can read.
     Null texts are encoded as empty ones: no ids and an empty decoded text. Texts are encoded whole, however long. Repeated rows
     give repeated results; an empty table gives an empty one. Other columns pass through, except those with the names
-    of results, which results replace.
+    of results, in any case, which results replace.
     """
     string = T.StringType()
     results = [("n_tokens", T.LongType()), *([("token_ids", T.ArrayType(T.IntegerType()))] if keep_ids else []), *([("decoded", string)] if keep_text else []), ("ids_sha256", string), ("decoded_sha256", string)]
     names = [n for n, _ in results]
-    others = [f for f in docs.schema if f.name != text and f.name not in names]
-    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias("_text_"))
-    schema = source.drop("_text_").schema
+    others = [f for f in docs.schema if f.name != text and f.name.lower() not in names]
+    (read,) = unused(docs, "text_read")
+    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias(read))
+    schema = T.StructType(list(others))
     for n, t in results:
         schema = schema.add(n, t)
 
@@ -286,7 +294,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
             for lo in range(0, max(1, batch.num_rows), 256):
                 part = batch.slice(lo, 256)
                 out: dict[str, list] = {n: [] for n in names}
-                for value in part.column("_text_"):
+                for value in part.column(read):
                     packed = enc.packed(value.as_py() or "")
                     decoded = enc.decode_packed(packed)
                     out["n_tokens"].append(len(packed) // 4)

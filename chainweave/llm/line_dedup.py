@@ -1,7 +1,7 @@
 """Removal of lines that many sites share.
 
-Long lines are shared by chance more rarely than short ones, so that fewer sites decide over them. A line's spread is the number of distinct sites that show it. HyperLogLog sketches per line hash, merged by aggregation, estimate every
-line's spread in one pass. Estimates so near the threshold that the sketch can't decide are counted exactly, over those lines only.
+A line's spread is the number of distinct sites that show it. Long lines are shared by chance more rarely than short ones, so that fewer sites decide
+over them. HyperLogLog sketches per line hash, merged by aggregation, estimate every line's spread in one pass. Estimates so near the threshold that the sketch can't decide are counted exactly, over those lines only.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import SPACE_CHARS, SPACES, stored
+from chainweave.llm.common import SPACE_CHARS, SPACES, drop_since, mark, stored
 
 #: Distinct sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -67,22 +67,24 @@ def remove_shared_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     A line, what stands between line feeds, is taken out of every document if min_sites or more distinct sites show it (long_sites for lines
     of LONG_WORDS words or more), first occurrence included; a null site is one site. Lines without a word stay. A document that has only such lines keeps its row, with
     an empty text. Null texts stay null, with 0 lines. Documents are told apart by key and text, nulls equal, so that repeated rows get repeated results.
-    Other columns pass through, except those with the names of results, which results replace.
+    Long texts are read whole. An empty table gives an empty one. Other columns pass through, except those with the names of results, which results replace.
     """
     docs = docs.drop("n_lines", "n_removed")
+    before = mark()
     shared = shared_lines(docs, min_sites, text, site, long_sites)
-    keyed = docs.withColumn("_k_", F.xxhash64(docs[f"`{key}`"], docs[f"`{text}`"])).withColumn("_k2_", F.xxhash64(F.lit(3), docs[f"`{text}`"], docs[f"`{key}`"]))
-    lines = keyed.select("_k_", "_k2_", F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
-    lines = lines.filter(_has_word(F.col("line"))).select("_k_", "_k2_", "pos", *_hashes(F.col("line")))
-    gone = lines.join(shared, ["h1", "h2"]).groupBy("_k_", "_k2_").agg(F.collect_set("pos").alias("_gone_"))
-    parts = F.split(F.col(f"`{text}`"), "\n")
-    joined = keyed.join(gone, ["_k_", "_k2_"], "left").drop("_k_", "_k2_")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts_") - 1), F.col("_gone_"))
-    clean = F.when(F.col("_gone_").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts_"), i)), "\n"))
-    columns = [clean.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    n_lines = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(F.filter("_parts_", _has_word))).cast("long")
-    n_removed = F.coalesce(F.size("_gone_"), F.lit(0)).cast("long")
-    return joined.withColumn("_parts_", parts).select(*columns, n_lines.alias("n_lines"), F.when(F.col("_gone_").isNull(), F.lit(0).cast("long")).otherwise(n_removed).alias("n_removed"))
+    drop_since(docs.sparkSession, before, shared)
+    k, t = docs[f"`{key}`"], docs[f"`{text}`"]
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), t.alias("t"), F.xxhash64(k, t).alias("k1"), F.xxhash64(F.lit(3), t, k).alias("k2"))
+    lines = keyed.select("k1", "k2", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    lines = lines.filter(_has_word(F.col("line"))).select("k1", "k2", "pos", *_hashes(F.col("line")))
+    gone = lines.join(shared, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    joined = keyed.select("doc", "k1", "k2").join(gone, ["k1", "k2"], "left").withColumn("parts", F.split(F.col("doc")[text], "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    whole = F.col("doc")[text]
+    clean = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("parts"), i)), "\n"))
+    columns = [clean.alias(text) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(F.filter("parts", _has_word))).cast("long")
+    return joined.select(*columns, n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 ORACLE = f"""

@@ -101,19 +101,22 @@ def small_schedule(plan: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(docs with size and _row_; key, size, source_size, target and _row_; pieces; schedule).
+    """(doc: a struct of all columns of docs, with size, r1 and r2; key, size, source_size, target, r1 and r2; pieces; schedule).
+
+    r1 and r2, 128 bits, stand for a document's key, text and source; rows equal in all of these have the same.
 
     The schedule has a row for each slot of a large source and for each block of a small one (see blocks).
-    pieces: slot, name, _row_, round (0 first, 1 second time a document is taken), start and words (the words that the slot takes of
+    pieces: slot, name, r1, r2, copy (a number among equal rows), round (0 first, 1 second time a document is taken), start and words (the words that the slot takes of
     that document). Documents of a source are shuffled by a digest of seed and key; equal digests go by key, size and text digest, and rows equal in all of
     these are interchangeable. Null texts have size 0; a null source is a source of its own, last in order; null keys have a digest of
-    their own. Documents without a word are never taken. An empty table gives empty results. Columns with the names of results are replaced.
+    their own. Documents without a word are never taken. Very long texts are blocks of many slots. An empty table gives empty results. Other columns' names don't matter.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "_row_")
     order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(docs[f"`{key}`"].cast("string"), F.lit("null"))))
-    keyed = docs.withColumn("name", _name(docs[f"`{source}`"])).withColumn("size", words_in(docs[f"`{text}`"])).withColumn("order", order)
-    keyed = keyed.withColumn("_row_", F.xxhash64(docs[f"`{key}`"], "size", F.xxhash64(docs[f"`{text}`"]), "name"))
-    slim = stored(keyed.select("name", "size", "order", "_row_", docs[f"`{key}`"].alias("key")), "mix-sizes")
+    k, t = docs[f"`{key}`"], docs[f"`{text}`"]
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    keyed = docs.select(whole.alias("doc"), k.alias("key"), _name(docs[f"`{source}`"]).alias("name"), words_in(t).alias("size"), order.alias("order"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(5), t).alias("t2"))
+    keyed = keyed.select("doc", "key", "name", "size", "order", F.xxhash64("key", "size", "t1", "name").alias("r1"), F.xxhash64(F.lit(6), "name", "t2", "size", "key").alias("r2"))
+    slim = stored(keyed.select("name", "size", "order", "r1", "r2", "key"), "mix-sizes")
     # Rows equal in all columns stand together; a copy's place among them is told by a number.
     sources = slim.groupBy("name").agg(F.sum("size").alias("source_size"))
     plan = stored(targets(sources, weights, share, most), "mix-targets")
@@ -133,46 +136,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     n = _buckets(rows)
     bucketed = slim.filter("size > 0").withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 32)))
     ahead = _offsets(bucketed, ["name"], "bucket", "size")
-    w = Window.partitionBy("name", "bucket").orderBy("order", "key", "size", "_row_")
-    placed = bucketed.withColumn("within", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("copy", F.row_number().over(Window.partitionBy("name", "bucket", "_row_").orderBy("order")))
-    placed = placed.join(ahead, ["name", "bucket"]).select("name", "_row_", "copy", "size", (F.col("offset") + F.coalesce("within", F.lit(0))).alias("first"))
+    w = Window.partitionBy("name", "bucket").orderBy("order", "key", "size", "r1", "r2")
+    placed = bucketed.withColumn("within", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("copy", F.row_number().over(Window.partitionBy("name", "bucket", "r1", "r2").orderBy("order")))
+    placed = placed.join(ahead, ["name", "bucket"]).select("name", "r1", "r2", "copy", "size", (F.col("offset") + F.coalesce("within", F.lit(0))).alias("first"))
     # Blocks that a document shares in, in each round; the source's words go round, so the second round's places follow the first's.
     rounds = placed.join(sized.select("name", "source_size", "block", "most"), "name").withColumn("round", F.explode(F.array(*map(F.lit, range(math.ceil(most))))))
     rounds = rounds.withColumn("first", F.col("first") + F.col("round") * F.col("source_size")).withColumn("end", F.least(F.col("first") + F.col("size"), F.col("most"))).filter("end > first")
     spans = rounds.withColumn("rank", F.explode(F.sequence(F.expr("first div block"), F.expr("(end - 1) div block"))))
     start = F.greatest(F.col("first"), F.col("rank") * F.col("block"))
     end = F.least(F.col("end"), (F.col("rank") + 1) * F.col("block"))
-    spans = spans.select("name", "rank", "_row_", "copy", "round", (start - F.col("first")).alias("start"), (end - start).alias("words"))
-    pieces = slot_table.join(spans, ["name", "rank"]).select("slot", "name", "_row_", "copy", "round", "start", "words")
-    return keyed.drop("order"), slim.join(plan, "name"), pieces, slot_table
+    spans = spans.select("name", "rank", "r1", "r2", "copy", "round", (start - F.col("first")).alias("start"), (end - start).alias("words"))
+    pieces = slot_table.join(spans, ["name", "rank"]).select("slot", "name", "r1", "r2", "copy", "round", "start", "words")
+    return keyed.select("doc", "size", "r1", "r2"), slim.join(plan, "name"), pieces, slot_table
 
 
 def mixed_sizes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """key, size, source_size, target and taken (words that the mix takes of the document, repeats counted) of every document."""
     _, sized, pieces, _ = mix(docs, key=key, **options)
-    taken = pieces.groupBy("_row_", "copy").agg(F.sum("words").alias("taken"))
-    numbered = _numbered(sized.select(F.col("key").alias(key), "size", "source_size", "target", "_row_"))
-    return numbered.join(taken, ["_row_", "copy"], "left").select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy("r1", "r2", "copy").agg(F.sum("words").alias("taken"))
+    numbered = _numbered(sized.select(F.col("key").alias(key), "size", "source_size", "target", "r1", "r2"))
+    return numbered.join(taken, ["r1", "r2", "copy"], "left").select(key, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with the number of each among those of the same _row_, which are equal in key, text and source."""
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("_row_").orderBy("size")))
+    """Rows with the number of each among those of the same r1 and r2, which are equal in key, text and source."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("r1", "r2").orderBy("size")))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that the mix takes, with the columns of docs; one row for each round that takes any of it.
 
     A document that a round takes in full keeps its text; where the mix ends within a document, the words taken stand with single blanks
-    between them. Documents without a word are never taken.
+    between them. Documents without a word, null texts among them, are never taken. See mix for nulls, ties, repeated rows and empty tables.
     """
     columns = docs.columns
     sized, _, pieces, _ = mix(docs, key=key, text=text, **options)
-    rounds = pieces.groupBy("_row_", "copy", "round").agg(F.sum("words").alias("taken"), F.min("start").alias("start"))
-    rows = _numbered(sized.drop("name")).join(rounds, ["_row_", "copy"])
-    part = F.array_join(F.slice(F.split(F.btrim(f"`{text}`", F.lit(" \t\n\x0b\x0c\r")), f"[{SPACES}]+"), (F.col("start") + 1).cast("int"), F.col("taken").cast("int")), " ")
-    cut = F.when(F.col("taken") >= F.col("size"), F.col(f"`{text}`")).otherwise(part)
-    return rows.select(*[cut.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+    rounds = pieces.groupBy("r1", "r2", "copy", "round").agg(F.sum("words").alias("taken"), F.min("start").alias("start"))
+    rows = _numbered(sized).join(rounds, ["r1", "r2", "copy"])
+    whole = F.col("doc")[text]
+    part = F.array_join(F.slice(F.split(F.btrim(whole, F.lit(" \t\n\x0b\x0c\r")), f"[{SPACES}]+"), (F.col("start") + 1).cast("int"), F.col("taken").cast("int")), " ")
+    cut = F.when(F.col("taken") >= F.col("size"), whole).otherwise(part)
+    return rows.select(*[cut.alias(text) if c == text else F.col("doc")[c].alias(c) for c in columns])
 
 
 ORACLE = f"""

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import SPACE_CHARS, chars_of, stored, word_array
+from chainweave.llm.common import SPACE_CHARS, chars_of, stored, unused, word_array
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -48,34 +48,35 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     pass through, except those with the names of counts, which counts replace.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_marks", "n_digits"]
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in counts]
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text and c.lower() not in counts]
+    text_, words_, lines_, windows_, ordered_, places_ = unused(docs, "text", "words", "lines", "windows", "ordered", "places")
     t = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    rows = docs.select(*others, t.alias("_text_"), word_array(t).alias("_words_"), F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias("_lines_"))
-    n = F.size("_words_")
-    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words_", i), F.get("_words_", i + 1), F.get("_words_", i + 2)))
+    rows = docs.select(*others, t.alias(text_), word_array(t).alias(words_), F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias(lines_))
+    n = F.size(words_)
+    window = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words_, i), F.get(words_, i + 1), F.get(words_, i + 2)))
     # Windows are compared by 64-bit hashes. A hash set settles texts without equal windows, the usual case.
-    rows = rows.withColumn("_windows_", F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")))
-    again = F.size(F.array_distinct("_windows_")) < F.size("_windows_")
+    rows = rows.withColumn(windows_, F.when(n >= 3, window).otherwise(F.array().cast("array<bigint>")))
+    again = F.size(F.array_distinct(windows_)) < F.size(windows_)
     # Other texts' windows are sorted by hash; those with an equal neighbour keep their places, and each place adds the words that the one before it didn't cover.
-    rows = rows.withColumn("_ordered_", F.when(again, F.sort_array(F.transform("_windows_", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda s, k: (F.get("_ordered_", k)["h"] == s["h"])
-    places = F.transform("_ordered_", lambda s, k: F.when(F.coalesce(same(s, k - 1), F.lit(False)) | F.coalesce(same(s, k + 1), F.lit(False)), s["i"]))
-    rows = rows.withColumn("_places_", F.sort_array(F.filter(places, lambda i: i.isNotNull())))
+    rows = rows.withColumn(ordered_, F.when(again, F.sort_array(F.transform(windows_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda s, k: (F.get(ordered_, k)["h"] == s["h"])
+    places = F.transform(ordered_, lambda s, k: F.when(F.coalesce(same(s, k - 1), F.lit(False)) | F.coalesce(same(s, k + 1), F.lit(False)), s["i"]))
+    rows = rows.withColumn(places_, F.sort_array(F.filter(places, lambda i: i.isNotNull())))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate("_places_", start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+    covered = F.aggregate(places_, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
     long = lambda c, name: c.cast("long").alias(name)
     return rows.select(
         *others,
         long(n, "n_words"),
-        long(F.char_length(F.translate("_text_", SPACE_CHARS, "")), "word_chars"),
-        long(chars_of(F.col("_text_"), SYMBOLS), "n_symbols"),
-        long(F.size("_lines_") - F.size(F.array_distinct("_lines_")), "n_dup_lines"),
+        long(F.char_length(F.translate(text_, SPACE_CHARS, "")), "word_chars"),
+        long(chars_of(F.col(text_), SYMBOLS), "n_symbols"),
+        long(F.size(lines_) - F.size(F.array_distinct(lines_)), "n_dup_lines"),
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
-        long(F.size("_lines_"), "n_lines"),
-        long(F.size(F.array_distinct("_words_")), "n_distinct_words"),
-        long(chars_of(F.col("_text_"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_upper"),
-        long(chars_of(F.col("_text_"), "!?"), "n_marks"),
-        long(chars_of(F.col("_text_"), "0123456789"), "n_digits"),
+        long(F.size(lines_), "n_lines"),
+        long(F.size(F.array_distinct(words_)), "n_distinct_words"),
+        long(chars_of(F.col(text_), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_upper"),
+        long(chars_of(F.col(text_), "!?"), "n_marks"),
+        long(chars_of(F.col(text_), "0123456789"), "n_digits"),
     )
 
 
@@ -107,9 +108,9 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", l
     A key with several labels counts as junk if any of them says so; a key with several rows counts once for each. Nothing learned (no
     labels, or only one class) gives an empty list.
     """
-    marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label_"))
-    known = statistics.filter(~base_failed()).join(marks, key)
-    features = known.select((F.col("_label_") == 0).alias("junk"), (F.pmod(F.xxhash64(key), F.lit(3)) == 0).alias("held"), *[F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()])
+    marks = labels.select(labels[f"`{key}`"].alias("labelled"), labels[f"`{label}`"].alias("mark")).filter("mark IS NOT NULL AND labelled IS NOT NULL").groupBy("labelled").agg(F.min("mark").alias("mark"))
+    known = statistics.filter(~base_failed()).withColumnRenamed(key, "id").select("id", *[F.expr(e).cast("long").alias(f) for f, e in FEATURES.items()]).join(marks, F.col("id") == F.col("labelled"))
+    features = known.select((F.col("mark") == 0).alias("junk"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"), *FEATURES)
     features = stored(features, "quality-features")
     at = [(k + 0.5) / CUTS for k in range(CUTS)]
     quantiles = [F.percentile_approx(F.when(F.col("junk") == side, F.col(f)), at, 1000).alias(f"{f}_{int(side)}") for f in FEATURES for side in (False, True)]
@@ -118,7 +119,7 @@ def learn_rules(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", l
     # A row's cell: for each feature, the number of cuts below its value. Rows of a cell are alike to every rule.
     cell = [sum(((F.col(f) > c).cast("int") for c in cuts[f]), F.lit(0)).alias(f) for f in FEATURES]
     cells = features.select("junk", "held", *cell).groupBy("held", *FEATURES).agg(F.sum(F.col("junk").cast("long")).alias("p"), F.sum((~F.col("junk")).cast("long")).alias("n"))
-    cells = stored(cells.repartition(4), "quality-cells")
+    cells = stored(cells, "quality-cells")
 
     def met(rule: Rule) -> Column:
         out = F.lit(True)
@@ -207,7 +208,8 @@ def apply_rules(statistics: DataFrame, rules: list[Rule]) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """key, the counts of text_statistics, base_failed, kept and rule of every document.
 
-    Repeated rows get repeated results, null keys are judged like others but never labelled, and an empty table gives an empty one.
+    Repeated rows get repeated results, null keys are judged like others but never labelled, null texts count as empty, very long ones are
+    counted whole, and an empty table gives an empty one. Ties of gain go to the middle cut of the first feature. Other columns are not read.
     """
-    statistics = stored(text_statistics(docs.select(key, text), text), "quality-statistics")
+    statistics = stored(text_statistics(docs.select(docs[f"`{key}`"], docs[f"`{text}`"]), text), "quality-statistics")
     return apply_rules(statistics, learn_rules(statistics, labels, key, label))

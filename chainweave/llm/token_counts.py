@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chainweave.llm.bpe import END, Bounded, PrefixBpe
+from chainweave.llm.common import unused
 
 
 class PrefixCounter:
@@ -107,15 +108,16 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
     pass through, except those with the names of results, which results replace.
     """
     names = ["n_bytes", "n_tokens", "over_limit"]
-    others = [f for f in docs.schema if f.name != text and f.name not in names]
-    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias("_text_"))
-    schema = source.drop("_text_").schema.add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
+    others = [f for f in docs.schema if f.name != text and f.name.lower() not in names]
+    (read,) = unused(docs, "text_read")
+    source = docs.select(*[docs[f"`{f.name}`"] for f in others], docs[f"`{text}`"].cast("string").alias(read))
+    schema = T.StructType(list(others)).add("n_bytes", T.LongType()).add("n_tokens", T.LongType()).add("over_limit", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
         for batch in batches:
             tokens, sizes = [], []
-            for value in batch.column("_text_"):
+            for value in batch.column(read):
                 t = value.as_py() or ""
                 sizes.append(len(t.encode("utf-8")))
                 tokens.append(count(t))
