@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 from chainweave.llm.common import stored
 
-#: Vectors of a shard, and queries that one task searches a shard for, on average.
-SHARD, QUERY_BLOCK = 4096, 4096
-#: Edges of a node, beam of the searches that build and of those that answer, nodes expanded at a time.
-DEGREE, BUILD_BEAM, BEAM, WIDE = 24, 48, 96, 4
+#: Shards that vectors are dealt to, as long as a shard has FEWEST vectors or more; beyond MOST vectors or NUMBERS components a shard, which bound the memory of
+#: a task, there are more shards.
+SHARDS, FEWEST, MOST, NUMBERS = 8, 4096, 1 << 16, 1 << 22
+#: Queries that one task searches a shard for, on average.
+QUERY_BLOCK = 1 << 15
+#: Edges of a node, beam of the searches that build and of those that answer (of FEWEST nodes; it grows with the root of their number), nodes expanded at a time.
+DEGREE, BUILD_BEAM, BEAM, WIDE = 24, 48, 128, 4
 #: Relaxation of the two passes: an edge goes if another one leads this many times nearer to its end.
 RELAX = (1.0, 1.2)
 BATCH = 256
@@ -190,6 +193,7 @@ def _answer(top: int, beam: int):
             edges = np.full((len(vectors), DEGREE), -1, np.int64)
             for i, e in enumerate(index.column("edges").to_pylist()):
                 edges[i, : len(e)] = e
+            wide = math.ceil(beam * max(1.0, math.sqrt(len(vectors) / FEWEST)))
             starts = np.flatnonzero(index.column("start").to_numpy(zero_copy_only=False))
             asked = np.asarray(queries.column("vector").combine_chunks().flatten()).reshape(queries.num_rows, -1)
             names = queries.column("query_id").to_numpy()
@@ -198,7 +202,7 @@ def _answer(top: int, beam: int):
             length = np.sqrt(np.einsum("nd,nd->n", even, even))[:, None]
             longer = np.concatenate([even / length, np.zeros((len(asked), 1))], axis=1).astype(np.float32)
             for lo in range(0, len(asked), BATCH):
-                met, _ = beam_search(level, edges, longer[lo : lo + BATCH], starts, max(beam, top + 1))
+                met, _ = beam_search(level, edges, longer[lo : lo + BATCH], starts, max(wide, top + 1))
                 for q, nodes in enumerate(met, lo):
                     nodes = nodes[nodes >= 0]
                     # Summed row by row, so that equal vectors have equal scores in all shards.
@@ -225,12 +229,23 @@ def clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
-    """An index of all usable vectors: a row for each distinct vector of a shard, with its ids and edges. Vectors of different numbers of components have graphs of their own."""
+def shard_size(vectors: int, numbers: int) -> int:
+    """Vectors of a shard: grows with their number, so that the shards that every query visits don't, up to what a task holds. numbers: components of the longest vector."""
+    return max(1, min(max(FEWEST, -(-vectors // SHARDS)), MOST, max(FEWEST // 4, NUMBERS // max(1, numbers))))
+
+
+def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard: int | None = None) -> DataFrame:
+    """An index of all usable vectors: a row for each distinct vector of a shard, with its ids and edges. Vectors of different numbers of components have graphs of their own.
+
+    shard: vectors of a shard on average, see shard_size. Null ids, and vectors that are null, zero or have null or non-finite components, are left out; equal vectors of
+    a shard are one node, repeated rows count once, and an empty table gives an empty index. Only key and vector are read.
+    """
     v = clean(vectors, key, vector)
-    shards = max(1, math.ceil(v.count() / shard))
+    n, numbers = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    shards = max(1, math.ceil(n / (shard or shard_size(n, numbers))))
     v = v.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "vector")
-    return stored(v.groupBy("dim", "shard").applyInArrow(_build, _INDEX), "ann-index")
+    # Partitions of a given number aren't joined to larger ones, so that shards are built side by side.
+    return stored(v.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_build, _INDEX), "ann-index")
 
 
 def search(index: DataFrame, queries: DataFrame, top: int = 20, beam: int = BEAM, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -238,7 +253,7 @@ def search(index: DataFrame, queries: DataFrame, top: int = 20, beam: int = BEAM
 
     Score is the inner product in double precision. Null ids, null and zero vectors, and vectors with null or non-finite components take no part on
     either side; queries meet vectors of their own number of components. Repeated queries are answered once, repeated rows of an id and vector count once. No rows
-    on either side give an empty result; with fewer candidates than `top`, all of them are returned.
+    on either side give an empty result; with fewer candidates than `top`, all of them are returned. Only key and vector are read.
     """
     asked = clean(queries, key, vector).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id", "vector"])
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
@@ -247,7 +262,8 @@ def search(index: DataFrame, queries: DataFrame, top: int = 20, beam: int = BEAM
     asked = asked.join(shards, "dim")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["dim", "shard", "block"]
-    found = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_answer(top, beam), _FOUND)
+    parts = 4 * blocks * max(1, shards.count())
+    found = held.repartition(parts, *by).groupBy(*by).cogroup(asked.repartition(parts, *by).groupBy(*by)).applyInArrow(_answer(top, beam), _FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
@@ -257,6 +273,8 @@ def recall(index: DataFrame, vectors: DataFrame, found: DataFrame, top: int = 20
     some = found.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(sample)
     v = clean(vectors, "vec_id", "embedding")
     asked = v.join(F.broadcast(some), v["vec_id"] == some["query_id"]).select("query_id", F.col("vector").alias("q"))
+    if found.isEmpty():
+        return 1.0
     ids, matrix = (np.asarray(x) for x in zip(*[(r["query_id"], r["q"]) for r in asked.collect()], strict=True))
 
     def best(batches):
