@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import stored
+from chainweave.llm.common import drop_since, mark, stored, unused
 
 #: Words of a shingle, and similarity from which on texts are linked, as a fraction.
 WORDS, SIMILAR = 5, (4, 5)
 #: Places of an embedding, and chance of a second place at a node: so a pair at the threshold stays together in one child on average.
-PLACES, SECOND = 48, 0.25
-#: Share of pairs at the threshold that the runs are to find, if they are split from others so many times in a run.
-RECALL, SPLITS = 0.99999, 2
+#: From split FORK on, which few classes come to, there always is a second one.
+PLACES, SECOND, FORK = 48, 0.25, 2
+#: Share of pairs at the threshold that the runs are to find where each run splits them from others LEVELS times; where it does so less often, more are found.
+RECALL = 0.9998
 #: Classes of a node that is not split, share of its parent beyond which a node isn't split either, and levels at most.
 LEAF, ALIKE, LEVELS = 48, 0.7, 6
 #: Classes and shingles of a block at most, apart from what a single class has.
@@ -140,18 +141,24 @@ def embeddings(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def runs_needed(recall: float = RECALL, similar: float = SIMILAR[0] / SIMILAR[1]) -> int:
-    """Runs after which a pair at the threshold has met with this probability."""
-    stay = 1 - (1 - similar) * (1 - SECOND * similar)
-    return math.ceil(math.log(1 - recall) / math.log(1 - stay**SPLITS))
+    """Runs after which a pair at the threshold has met with this probability, in nodes of any level."""
+    stay = math.prod(1 - (1 - similar) * (1 - second(k) * similar) for k in range(LEVELS))
+    return math.ceil(math.log(1 - recall) / math.log(1 - stay))
 
 
-def _children(path: Column, places: Column) -> Column:
-    """Paths of the children that a class goes to: of one sampled place, and with chance SECOND of another."""
+def second(split: int) -> float:
+    """Chance of a second place at a run's splits, counted from 0."""
+    return SECOND if split < FORK else 1.0
+
+
+def _children(path: Column, places: Column, split: int) -> Column:
+    """Paths of the children that a class goes to: of one sampled place, and with a chance (see second) of another."""
     pick = lambda salt: F.pmod(F.xxhash64(F.lit(salt), path), F.lit(PLACES)).cast("int")
     child = lambda at: F.xxhash64(path, at, F.get(places, at))
-    again = F.pmod(F.xxhash64(F.lit(5), path), F.lit(1000)) < int(1000 * SECOND)
-    one, two = pick(3), pick(4)
-    return F.when(again & (one != two), F.array(child(one), child(two))).otherwise(F.array(child(one)))
+    again = F.pmod(F.xxhash64(F.lit(5), path), F.lit(1000)) < int(1000 * second(split))
+    one = pick(3)
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64(F.lit(4), path), F.lit(PLACES - 1)), F.lit(PLACES)).cast("int")
+    return F.when(again, F.array(child(one), child(two))).otherwise(F.array(child(one)))
 
 
 def leaves(classes: DataFrame, runs: int) -> DataFrame:
@@ -161,7 +168,7 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     """
     total = classes.count()
     level = classes.select("key", "places", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    level = level.select("key", "run", F.explode(_children(F.xxhash64(F.lit("run"), "run"), F.col("places"))).alias("leaf"))
+    level = level.select("key", "run", F.explode(_children(F.xxhash64(F.lit("run"), "run"), F.col("places"), 0)).alias("leaf"))
     done = []
     for depth in range(LEVELS):
         level = stored(level, f"join-level{depth}")
@@ -177,7 +184,7 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
         wider = (level.drop("parent_n") if depth else level).join(nodes.filter("split").select("leaf", F.col("n").alias("parent_n")), "leaf")
         # Rows that are split on take their embedding along from here, so that it is looked up once.
         wider = wider if depth else wider.join(classes.select("key", "places"), "key")
-        level = wider.select("key", "run", F.explode(_children(F.col("leaf"), F.col("places"))).alias("leaf"), "parent_n", "places")
+        level = wider.select("key", "run", F.explode(_children(F.col("leaf"), F.col("places"), depth + 1)).alias("leaf"), "parent_n", "places")
     # Of leaves with the same classes, one is enough: that of the first run.
     every = None
     for _, nodes in done:
@@ -458,6 +465,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     its words. Repeated rows are copies of each other. Null keys are grouped like others; the class of documents that all have null keys is null.
     An empty table gives an empty one. Only key and text are read, so that other columns' names don't matter.
     """
+    start = mark()
     worded = F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0
     raw = docs.select(docs[f"`{key}`"].alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
     keyed = raw.select("id", "text", F.coalesce(worded, F.lit(False)).alias("worded"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
@@ -466,8 +474,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     classes = stored(classes, "join-classes")
     places = embeddings(keyed.filter("worded").select("key", F.col("text").cast("binary").alias("text")), words)
     places = stored(places.groupBy("key").agg(F.min(F.struct("n_shingles", "places", "sketch")).alias("p")).select("key", "p.*"), "join-places")
+    before = mark()
     met = stored(leaves(places, runs_needed(recall, similar[0] / similar[1])), "join-met")
     found = stored(alike(met, places.select("key", "sketch")).join(places.select("key", "n_shingles"), "key"), "join-found")
+    drop_since(docs.sparkSession, before, found)
     # A class's leaves, in the order of runs, for telling where a pair meets first.
     mine = found.groupBy("key").agg(F.max("n_shingles").alias("n_shingles"), F.array_sort(F.collect_list(F.struct("run", "leaf"))).alias("l")).select("key", "n_shingles", F.col("l.leaf").alias("leaves"))
     sizes = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
@@ -482,6 +492,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.repartition(n, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "side", "key")
     links = stored(blocks.mapInArrow(_search(words, similar), _RESULT), "join-links")
+    drop_since(docs.sparkSession, start, members, classes, links)
     counts = links.filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(links.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = classes.join(joined, "key", "left").withColumn("class", F.coalesce("class", "key"))
@@ -489,15 +500,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     ids = named.groupBy("class").agg(F.min("id").alias("class_id"))
     named = named.join(ids, "class").join(counts, "key", "left").select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     named = stored(named, "join-named")
+    drop_since(docs.sparkSession, start, members, named)
     some = members.filter("worded").join(named, "key").select(F.col("id").alias(key), "class_id", "n_links", "copies")
     none = members.filter("NOT worded").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return some.unionByName(none)
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the documents whose class has one of smaller key; of rows that share that key, one stays. Rows with null keys, which no key tells apart, all stay."""
+    """docs without the documents whose class has one of smaller key; of rows that share that key, one stays. Rows with null keys, which no key tells apart, all stay.
+
+    Documents without a word are classes of their own, so that they stay; see join for long texts and empty tables. Columns pass through as they are.
+    """
     name = F.col(f"`{key}`")
-    first = join(docs, key, text, **options).select(F.col("class_id").alias("_first_")).filter("_first_ IS NOT NULL").distinct()
-    named = docs.filter(name.isNotNull()).join(first, name == F.col("_first_"), "left_semi")
+    chosen, number = unused(docs, "chosen", "number")
+    first = join(docs, key, text, **options).select(F.col("class_id").alias(chosen)).filter(F.col(chosen).isNotNull()).distinct()
+    named = docs.filter(name.isNotNull()).join(first, name == F.col(chosen), "left_semi")
     one = F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    return named.withColumn("_n_", one).filter("_n_ = 1").drop("_n_").unionByName(docs.filter(name.isNull()))
+    return named.withColumn(number, one).filter(F.col(number) == 1).drop(number).unionByName(docs.filter(name.isNull()))
