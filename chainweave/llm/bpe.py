@@ -17,7 +17,6 @@ import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import ahocorasick
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chainweave.llm.common import unused
+from chainweave.llm.common import held, unused
 
 #: Entries kept in each cache of a Python worker.
 CACHE_ENTRIES = 200_000
@@ -264,10 +263,9 @@ class TextEncoder:
         return self.decode_packed(struct.pack(f"<{len(ids)}I", *ids))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One encoder a Python worker, kept between batches and tasks."""
-    return TextEncoder(path)
+    return held(("encoder", path), lambda: TextEncoder(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:

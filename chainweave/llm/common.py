@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +89,24 @@ def word_array(text: Column) -> Column:
 def chars_of(text: Column, chars: str) -> Column:
     """Number of characters of text that are among chars."""
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(name: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: the last such object only, made anew when another one has been held since."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Gives a Python worker's held object, and memory that is free, back to the system. Workers serve many stages, and each stage's tasks start with this or with held."""
+    _held.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # a C library without it

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import drop_since, mark, stored, unused
+from chainweave.llm.common import drop_since, mark, release, stored, unused
 
 #: Words of a shingle, and similarity from which on texts are linked, as a fraction.
 WORDS, SIMILAR = 5, (4, 5)
@@ -120,6 +120,7 @@ def embeddings(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(key, text) to (key, n_shingles: distinct shingles, places: array of int, sketch: a byte of each place) of every text with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             for lo, hi in _chunks(texts):
@@ -401,6 +402,7 @@ def _search(words: int, similar: tuple[int, int]):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         types = [pa.binary(), pa.binary(), pa.int64()]
         at, rows = None, []
         found: dict[str, list] = {"key": [], "other": [], "links": []}

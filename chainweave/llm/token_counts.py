@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chainweave.llm.bpe import END, Bounded, PrefixBpe
-from chainweave.llm.common import unused
+from chainweave.llm.common import held, unused
 
 
 class PrefixCounter:
@@ -95,9 +94,9 @@ class PrefixCounter:
         return text[:cut]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    """One counter a Python worker, kept between batches and tasks."""
+    return held(("counter", path), lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainweave.llm.common import drop_since, mark, stored, unused
+from chainweave.llm.common import drop_since, mark, release, stored, unused
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
@@ -30,7 +30,7 @@ EMBED, HIDDEN, ATTEND = 8, 8, 8
 INPUT = 2 * EMBED + 3
 EPOCHS, BATCH, RATE = 12, 256, 0.01
 #: Distinct words a task keeps the inputs of.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 STRIP = string.punctuation + "“”„‘’«»…–—¿¡"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Tells a word's own hash from those of grams.
@@ -453,6 +453,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = stored(texts.groupBy("id", "y", "part").agg(F.min("text").alias("text")), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts = np.zeros((2, 2, PRIOR_BUCKETS + 1), np.int32)
         for batch in batches:
             counts += count_forms(*_spelled(batch))
@@ -514,6 +515,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
     schema = T.StructType([*others, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(model)  # goes with the task, so that workers which other stages use again don't keep it
         for batch in batches:
             s = _in_slices(batch.column(read), scorer.scores)
