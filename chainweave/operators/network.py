@@ -70,11 +70,11 @@ def _node_addresses(ledger: Ledger) -> DataFrame:
     return _addresses(ledger).orderBy("id").limit(100).select("id", "ip", "services")
 
 
-@register("added_node_info", f"WITH {_ADDR} SELECT a.id, a.ip, c.ip IS NOT NULL AS connected FROM addr a LEFT JOIN (SELECT DISTINCT ip FROM addr WHERE id % 3 = 0) c ON c.ip = a.ip WHERE a.id <= 300")
+@register("added_node_info", f"WITH {_ADDR} SELECT a.id, a.ip, c.ip IS NOT NULL AS connected FROM addr a LEFT JOIN (SELECT DISTINCT ip FROM addr WHERE id % 3 = 0) c ON c.ip = a.ip")
 def _added(ledger: Ledger) -> DataFrame:
     a = _addresses(ledger)
     connected = a.filter("id % 3 = 0").select("ip", F.lit(True).alias("on")).distinct()
-    return a.filter("id <= 300").join(connected, "ip", "left").select("id", "ip", F.coalesce("on", F.lit(False)).alias("connected"))
+    return a.join(connected, "ip", "left").select("id", "ip", F.coalesce("on", F.lit(False)).alias("connected"))
 
 
 def merge_bans(lists: DataFrame) -> DataFrame:
@@ -83,12 +83,12 @@ def merge_bans(lists: DataFrame) -> DataFrame:
     return lists.groupBy("addr").agg(F.when(F.max(F.col("until").isNull()), None).otherwise(F.max("until")).alias("until"), reasons.alias("reasons"))
 
 
-_BANS = "SELECT o_custkey AS addr, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE epoch(o_orderdate)::BIGINT END AS until, o_orderstatus AS reason, o_orderkey AS source FROM orders WHERE o_orderkey % 5 = 0"
+_BANS = "SELECT o_custkey AS addr, CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE epoch(o_orderdate)::BIGINT END AS until, o_orderstatus AS reason, o_orderkey AS source FROM orders"
 
 
 @register("merged_bans", f"SELECT addr, CASE WHEN count(*) FILTER (until IS NULL) > 0 THEN NULL ELSE max(until) END AS until, string_agg(reason, '; ' ORDER BY source, reason) AS reasons FROM ({_BANS}) t GROUP BY addr")
 def _merged(ledger: Ledger) -> DataFrame:
-    o = ledger["orders"].filter("o_orderkey % 5 = 0")
+    o = ledger["orders"]
     until = F.when(F.col("o_orderpriority") == "1-URGENT", None).otherwise(F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
     return merge_bans(o.select(F.col("o_custkey").alias("addr"), until.alias("until"), F.col("o_orderstatus").alias("reason"), F.col("o_orderkey").alias("source")))
 

@@ -128,9 +128,9 @@ def _overlaid(ledger: Ledger) -> DataFrame:
     return overlay(base, pending, ["txid", "vout"])
 
 
-@register("block_from_either_source", "SELECT height, block_hash, CASE WHEN height % 3 = 0 THEN 'flat' ELSE 'store' END AS origin FROM blocks WHERE height < 300")
+@register("block_from_either_source", "SELECT height, block_hash, CASE WHEN height % 3 = 0 THEN 'flat' ELSE 'store' END AS origin FROM blocks")
 def _either(ledger: Ledger) -> DataFrame:
-    some = ledger["blocks"].filter("height < 300").select("height", "block_hash")
+    some = ledger["blocks"].select("height", "block_hash")
     return either(some.filter("height % 3 <> 0").withColumn("origin", F.lit("store")), some.withColumn("origin", F.lit("flat")), ["block_hash"])
 
 

@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder of this process."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder of this process, which only a local master can use."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="chainweave-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)

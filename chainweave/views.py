@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Outputs shipped are spent by the transaction this many places later, plus the part's number modulo SPREAD.
@@ -24,6 +24,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 LINE_COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
+def _txid(key: str) -> Column:
+    return F.sha2(F.col(key).cast("string"), 256)
+
+
+def _cents() -> Column:
+    return F.round(F.col("l_extendedprice") * 100).cast("long")
+
+
 class Ledger:
     """DataFrames of the relations over one directory of tables; each is planned when first asked for."""
 
@@ -50,15 +58,20 @@ class Ledger:
         b = dates.select(h.alias("height"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), "n_tx")
         return b.select("height", hashed(F.col("height")).alias("block_hash"), F.when(F.col("height") > 0, hashed(F.col("height") - 1)).alias("prev_hash"), "ts", "n_tx")
 
-    def txs(self) -> DataFrame:
+    def _seqs(self) -> DataFrame:
+        """Transactions by order key and seq, without digests: what joins and counts go by."""
+        last = F.floor(F.col("n_all") * POOL_FROM)
         return self.seq_orders().select(
-            F.sha2(F.col("o_orderkey").cast("string"), 256).alias("txid"), "height", (F.col("place") - 1).cast("long").alias("tx_index"), "seq",
-            F.col("o_custkey").alias("custkey"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), (F.col("seq") > F.floor(F.col("n_all") * POOL_FROM)).alias("pending"), "o_orderkey",
+            "o_orderkey", "height", (F.col("place") - 1).cast("long").alias("tx_index"), "seq", F.col("o_custkey").alias("custkey"),
+            F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), (F.col("seq") > last).alias("pending"), last.alias("last_confirmed"),
         )
 
+    def txs(self) -> DataFrame:
+        return self._seqs().select(_txid("o_orderkey").alias("txid"), "height", "tx_index", "seq", "custkey", "ts", "pending", "o_orderkey")
+
     def _outputs(self) -> DataFrame:
         vout = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_COLUMNS)) - 1).cast("long")
-        lines = self["lineitem"].select("l_orderkey", vout.alias("vout"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("value"), F.col("l_suppkey").alias("address"), "l_linestatus", "l_partkey")
+        lines = self["lineitem"].select("l_orderkey", vout.alias("vout"), _cents().alias("value"), F.col("l_suppkey").alias("address"), "l_linestatus", "l_partkey")
         return lines.join(self.txs().select(F.col("o_orderkey").alias("l_orderkey"), "txid", "height", "seq", "pending"), "l_orderkey")
 
     def tx_outputs(self) -> DataFrame:
@@ -76,25 +89,39 @@ class Ledger:
         added = self.tx_outputs().select("txid", "vout", "height", F.lit("A").alias("op"))
         return added.unionByName(self.tx_inputs().select(F.col("prev_txid").alias("txid"), F.col("prev_vout").alias("vout"), "height", F.lit("D").alias("op")))
 
-    def tx_fees(self) -> DataFrame:
-        """(txid, n_in, n_out, value_in, value_out, fee, vsize, fee_rate) of every transaction; a fee is never below 0."""
-        outs = self.tx_outputs().groupBy("txid").agg(F.count(F.lit(1)).alias("n_out"), F.sum("value").alias("value_out"))
-        prev = self.tx_outputs().select(F.col("txid").alias("prev_txid"), F.col("vout").alias("prev_vout"), "value")
-        ins = self.tx_inputs().join(prev, ["prev_txid", "prev_vout"], "left").groupBy("txid").agg(F.count(F.lit(1)).alias("n_in"), F.sum(F.coalesce("value", F.lit(0))).alias("value_in"))
+    def _spends(self, owners: DataFrame) -> DataFrame:
+        """(o_orderkey, value, seq): items of these owners' orders that a later transaction, of number seq, spends."""
+        lines = self["lineitem"].filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"), _cents().alias("value"), "l_partkey")
+        return lines.join(owners.select("o_orderkey", "seq"), "o_orderkey").select("o_orderkey", "value", (F.col("seq") + SPEND_AFTER + F.col("l_partkey") % SPREAD).alias("seq"))
+
+    def _fees(self, of: DataFrame, owners: DataFrame, lines: DataFrame) -> DataFrame:
+        """Fees of the transactions `of`. An input's value is that of the item it spends, so that inputs are counted as items of their owners; digests come last."""
+        outs = lines.select(F.col("l_orderkey").alias("o_orderkey"), _cents().alias("value")).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_out"), F.sum("value").alias("value_out"))
+        ins = self._spends(owners).groupBy("seq").agg(F.count(F.lit(1)).alias("n_in"), F.sum("value").alias("value_in"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        t = self.txs().select("txid", "height", "tx_index", "seq", "ts", "pending").join(outs, "txid", "left").join(ins, "txid", "left")
-        t = t.select("txid", "height", "tx_index", "seq", "ts", "pending", zero("n_in"), zero("n_out"), zero("value_in"), zero("value_out"))
+        t = of.select("o_orderkey", "height", "tx_index", "seq", "ts", "pending").join(outs, "o_orderkey", "left").join(ins, "seq", "left")
+        t = t.select(_txid("o_orderkey").alias("txid"), "height", "tx_index", "seq", "ts", "pending", zero("n_in"), zero("n_out"), zero("value_in"), zero("value_out"))
         t = t.withColumn("fee", F.greatest(F.col("value_in") - F.col("value_out"), F.lit(0).cast("long"))).withColumn("vsize", F.expr(f"{INPUT_BYTES} * n_in + {OUTPUT_BYTES} * n_out + {BASE_BYTES}"))
         return t.withColumn("fee_rate", F.expr("1000 * fee div vsize"))
 
+    def tx_fees(self) -> DataFrame:
+        """(txid, n_in, n_out, value_in, value_out, fee, vsize, fee_rate) of every transaction; a fee is never below 0."""
+        seqs = self._seqs()
+        return self._fees(seqs, seqs, self["lineitem"])
+
     def mempool(self) -> DataFrame:
-        return self.tx_fees().filter("pending").select("txid", F.col("seq").alias("added_seq"), F.col("ts").alias("added_at"), "n_in", "n_out", "fee", "vsize", "fee_rate")
+        """Fees of pending transactions, out of their own items and of those that so few places before them can spend; other items are never joined."""
+        seqs = self._seqs()
+        of = seqs.filter("pending")
+        owners = seqs.filter(F.col("seq") > F.col("last_confirmed") - SPEND_AFTER - SPREAD)
+        lines = self["lineitem"].join(of.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+        return self._fees(of, owners, lines).select("txid", F.col("seq").alias("added_seq"), F.col("ts").alias("added_at"), "n_in", "n_out", "fee", "vsize", "fee_rate")
 
     def pool_edges(self) -> DataFrame:
         """(parent, child) of pending transactions."""
-        parents = self.txs().filter("pending").select(F.col("txid").alias("parent"))
-        spends = self.tx_inputs().filter("pending").select(F.col("prev_txid").alias("parent"), F.col("txid").alias("child"))
-        return spends.join(parents, "parent", "left_semi").distinct()
+        pool = self._seqs().filter("pending").select("o_orderkey", "seq")
+        pairs = self._spends(pool).select(F.col("o_orderkey").alias("parent"), "seq").distinct().join(pool, "seq")
+        return pairs.select(_txid("parent").alias("parent"), _txid("o_orderkey").alias("child"))
 
     def peer_samples(self) -> DataFrame:
         return self["events"].select(F.col("user_id").alias("peer"), "ts", F.col("event_type").alias("kind"), F.col("value").alias("amount"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("sec"))
