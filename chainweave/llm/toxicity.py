@@ -493,13 +493,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def _in_slices(texts: pa.Array, function) -> np.ndarray:
-    """Results of a function of texts, about a million characters of them at a time, whatever their lengths. Null texts count as empty."""
-    texts = [t or "" for t in texts.to_pylist()]
-    out, lo, sizes = [np.zeros(0)], 0, np.cumsum([0, *map(len, texts)])
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + 1_000_000)))
-        out.append(function(texts[lo:hi]).astype(np.float64))
-        lo = hi
+    """Results of a function of texts, at most 512 of them and about a million characters at a time, whatever their lengths. Null texts count as empty."""
+    out = [np.zeros(0)]
+    for at in range(0, len(texts), 512):
+        some = [t or "" for t in texts.slice(at, 512).to_pylist()]
+        lo, sizes = 0, np.cumsum([0, *map(len, some)])
+        while lo < len(some):
+            hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + 1_000_000)))
+            out.append(function(some[lo:hi]).astype(np.float64))
+            lo = hi
     return np.concatenate(out)
 
 
