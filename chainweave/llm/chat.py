@@ -162,12 +162,16 @@ def order_calls(calls: DataFrame) -> DataFrame:
     while True:
         paths.append(f"{root}/{len(paths)}")
         new.write.option("compression", "zstd").parquet(paths[-1])
-        if calls.sparkSession.read.schema(new.schema).parquet(paths[-1]).isEmpty():
+        last = calls.sparkSession.read.schema(new.schema).parquet(paths[-1])
+        if last.isEmpty():
             break
         done = calls.sparkSession.read.schema(new.schema).parquet(*paths)
-        # Ready: calls of which all that they take are done. Calls in a circle never are, so the levels end.
-        ready = edges.join(done.select("conv_id", F.col("id").alias("before"), F.lit(1).alias("one")), ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.min(F.coalesce("one", F.lit(0))).alias("all")).filter("all = 1")
-        new = ready.join(done, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(len(paths)).alias("depth"))
+        # A call is looked at when one that it takes has just been done, and is ready if all are; so a level costs what its calls take, however long the chain. Calls in a
+        # circle never are ready, so the levels end.
+        touched = edges.join(last.select("conv_id", F.col("id").alias("before")), ["conv_id", "before"]).select("conv_id", "id").distinct()
+        takes = edges.join(touched, ["conv_id", "id"], "left_semi")
+        ready = takes.join(done.select("conv_id", F.col("id").alias("before"), F.lit(1).alias("one")), ["conv_id", "before"], "left").groupBy("conv_id", "id").agg(F.min(F.coalesce("one", F.lit(0))).alias("all")).filter("all = 1")
+        new = ready.select("conv_id", "id", F.lit(len(paths)).alias("depth"))
     done = calls.sparkSession.read.schema(new.schema).parquet(*paths)
     return ids.join(done, ["conv_id", "id"], "left")
 
