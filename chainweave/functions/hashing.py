@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -184,8 +185,9 @@ def _per_row(f, kind: T.DataType):
 hash160 = _per_row(lambda b: hash160_bytes(bytes(b)), T.BinaryType())
 base58check_decode = _per_row(base58check, T.BinaryType())
 address_script = _per_row(script_of_address, T.BinaryType())
+#: Work of a compact target, exact; 0 for targets so small that it has more than 38 digits, which no chain reaches.
+block_work = _per_row(lambda b: Decimal(w if (w := work_of_bits(int(b))) < 10**38 else 0), T.DecimalType(38, 0))
 work_hex = _per_row(lambda b: f"{work_of_bits(int(b)):064x}", T.StringType())
-difficulty = _per_row(lambda b: difficulty_of_bits(int(b)), T.DoubleType())
 
 
 def short_tx_id(nonce: int):
@@ -242,9 +244,14 @@ def active_rules(height: Column, activations: dict[str, int]) -> Column:
     return F.array_compact(F.array(*[F.when(height >= h, F.lit(n)) for n, h in activations.items()]))
 
 
-def chainwork_hex(work: Column) -> Column:
-    """Cumulative work of up to 63 bits as 64 hex digits."""
-    return F.lpad(F.lower(F.hex(work)), 64, "0")
+def difficulty(bits: Column) -> Column:
+    """How many times harder a compact target is than the easiest; infinite for a mantissa of 0."""
+    word, size = bits.bitwiseAND(F.lit(0x7FFFFF)), F.shiftrightunsigned(bits.cast("long"), 24)
+    return F.when(word == 0, F.lit(float("inf"))).otherwise(F.lit(float(0xFFFF)) / word * F.pow(F.lit(2.0), 8 * (F.lit(0x1D) - size)))
+
+
+#: Cumulative work, of any integral type, as 64 hex digits.
+chainwork_hex = _per_row(lambda w: f"{int(w):064x}", T.StringType())
 
 
 def decode_hash32(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainweave.functions.hashing import block_work, difficulty
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
 
@@ -33,11 +34,29 @@ register_sql(
     "chain_tx_stats",
     "SELECT count(*) AS window_blocks, CAST(sum(n_tx) AS BIGINT) AS window_txs, max(ts) - min(ts) AS window_seconds, round(CAST(sum(n_tx) AS DOUBLE) / greatest(max(ts) - min(ts), 1), 9) AS tx_rate, (SELECT CAST(sum(n_tx) AS BIGINT) FROM {blocks}) AS txcount FROM {blocks} WHERE height > (SELECT max(height) FROM {blocks}) - 144",
 )
-register_sql(
+
+
+@register(
     "network_hashrate",
-    "SELECT round(4294967296.0 / (CAST(max(ts) - min(ts) AS DOUBLE) / (count(*) - 1)), 6) AS hashrate, count(*) AS blocks FROM {blocks} WHERE height > (SELECT max(height) FROM {blocks}) - 144",
+    "SELECT round((SELECT 65535.0::DOUBLE / (bits % 16777216) FROM blocks ORDER BY height DESC LIMIT 1) * 4294967296.0 / ((max(ts) - min(ts))::DOUBLE / (count(*) - 1)), 3) AS hashrate, count(*) AS blocks FROM (SELECT ts FROM blocks ORDER BY height DESC LIMIT 144)",
 )
-register_sql("total_work", "SELECT CAST(sum(1) AS BIGINT) AS work_simplified FROM {blocks}")
+def _hashrate(ledger: Ledger) -> DataFrame:
+    """The tip's difficulty by the mean time between the last 144 blocks; 0 for fewer than two blocks or no time between them."""
+    last = ledger["blocks"].orderBy(F.desc("height")).limit(144)
+    found = last.agg(F.max_by("bits", "height").alias("bits"), (F.max("ts") - F.min("ts")).cast("double").alias("span"), F.count(F.lit(1)).alias("blocks"))
+    rate = difficulty(F.col("bits")) * 4294967296.0 / (F.col("span") / (F.col("blocks") - 1))
+    return found.select(F.when((F.col("blocks") < 2) | (F.col("span") <= 0), F.lit(0.0)).otherwise(F.round(rate, 3)).alias("hashrate"), "blocks")
+
+
+@register("total_work", "SELECT count(*) AS work_simplified, sum((281474976710656 - 1) // (bits % 16777216))::VARCHAR AS work FROM blocks")
+def _total_work(ledger: Ledger) -> DataFrame:
+    """Work of the whole chain: exact, and by the simplified rule, under which any target above 64 bits counts as 1."""
+    size, word = F.expr("bits div 16777216"), F.expr("bits % 16777216")
+    small = F.pow(F.lit(2.0), 64) / (F.when(size <= 3, F.floor(word / F.pow(F.lit(256.0), 3 - size))).otherwise(word * F.pow(F.lit(256.0), size - 3)) + 1)
+    simplified = F.when(size >= 11, F.lit(1).cast("decimal(20,0)")).otherwise(F.greatest(F.floor(small).cast("decimal(20,0)"), F.lit(1).cast("decimal(20,0)")))
+    return ledger["blocks"].agg(F.sum(simplified).cast("long").alias("work_simplified"), F.sum(block_work(F.col("bits"))).cast("decimal(38,0)").cast("string").alias("work"))
+
+
 register_sql("address_received", "SELECT address, CAST(sum(value) AS BIGINT) AS received FROM {tx_outputs} GROUP BY address")
 register_sql("address_index", "SELECT address, count(DISTINCT txid) AS n_txs, count(*) AS n_outputs, min(txid) AS first_txid, max(txid) AS last_txid FROM {tx_outputs} GROUP BY address")
 register_sql(
@@ -62,14 +81,15 @@ register_sql(
 )
 
 
-def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The value at place n div 2 of a sorted column, found by counts of distinct values rather than a sort of all rows in one task."""
-    return rows.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("lower"), F.count(F.lit(1)).alias("n"))
+def nearest_rank(of: str, n: str) -> str:
+    """SQL over rows (of, upto), distinct values with how many rows are at or below each: the value at place n of the rows in order, from 0."""
+    return f"min(CASE WHEN upto > {n} THEN {of} END)"
 
 
 register_sql(
     "fee_estimate_by_target",
-    "SELECT target, CAST(floor(median * scale) AS BIGINT) AS rate FROM (SELECT max(CASE WHEN r = n div 2 THEN fee_rate END) AS median FROM (SELECT fee_rate, row_number() OVER (ORDER BY fee_rate, txid) - 1 AS r, count(*) OVER () AS n FROM {mempool}) a) m JOIN (SELECT 1 AS target, 2.0 AS scale UNION ALL SELECT 3, 1.5 UNION ALL SELECT 6, 1.0 UNION ALL SELECT 12, 0.5) s ON 1 = 1",
+    f"SELECT target, CAST(floor(median * scale) AS BIGINT) AS rate FROM (SELECT {nearest_rank('fee_rate', 'n div 2')} AS median FROM (SELECT fee_rate, sum(c) OVER (ORDER BY fee_rate) AS upto, sum(c) OVER () AS n FROM (SELECT fee_rate, count(*) AS c FROM {{mempool}} GROUP BY fee_rate) g) a) m JOIN (SELECT 1 AS target, 2.0 AS scale UNION ALL SELECT 3, 1.5 UNION ALL SELECT 6, 1.0 UNION ALL SELECT 12, 0.5) s ON 1 = 1",
+    "SELECT target, floor(median * scale)::BIGINT AS rate FROM (SELECT list_sort(list(fee_rate))[(count(*) // 2 + 1)::INT] AS median FROM mempool) m, (VALUES (1, 2.0), (3, 1.5), (6, 1.0), (12, 0.5)) s(target, scale)",
 )
 register_sql(
     "congestion_metrics",
@@ -77,13 +97,11 @@ register_sql(
 )
 
 
-def nearest_rank(p: int) -> str:
-    return f"max(CASE WHEN r = n * {p} div 100 THEN amount END) AS p{p}"
-
-
+# Equal amounts are counted before anything is sorted, so that a window sees distinct values, not all events of a kind.
 register_sql(
     "operation_stats",
-    f"SELECT kind, max(n) AS n, round(avg(amount), 6) AS mean, min(amount) AS least, max(amount) AS most, {nearest_rank(50)}, {nearest_rank(95)}, {nearest_rank(99)} FROM (SELECT kind, amount, row_number() OVER (PARTITION BY kind ORDER BY amount, event_id) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM {{peer_samples}}) t GROUP BY kind",
+    f"SELECT kind, CAST(max(n) AS BIGINT) AS n, round(sum(total) / max(n), 6) AS mean, min(amount) AS least, max(amount) AS most, {', '.join(nearest_rank('amount', f'n * {p} div 100') + f' AS p{p}' for p in (50, 95, 99))} FROM (SELECT kind, amount, total, sum(c) OVER (PARTITION BY kind ORDER BY amount) AS upto, sum(c) OVER (PARTITION BY kind) AS n FROM (SELECT kind, amount, count(*) AS c, sum(amount) AS total FROM {{peer_samples}} GROUP BY kind, amount) g) t GROUP BY kind",
+    f"SELECT kind, max(n) AS n, round(avg(amount), 6) AS mean, min(amount) AS least, max(amount) AS most, {', '.join(f'max(CASE WHEN r = n * {p} // 100 THEN amount END) AS p{p}' for p in (50, 95, 99))} FROM (SELECT kind, amount, row_number() OVER (PARTITION BY kind ORDER BY amount, event_id) - 1 AS r, count(*) OVER (PARTITION BY kind) AS n FROM peer_samples) t GROUP BY kind",
 )
 register_sql(
     "peer_summary",
@@ -109,11 +127,16 @@ register_sql("latest_metrics", "SELECT peer, kind, max_by(event_id, sec * 100000
 register_sql("package_fees", "SELECT CAST(added_seq div 25 AS BIGINT) AS package, count(*) AS n, CAST(sum(fee) AS BIGINT) AS fees, CAST(sum(68 * n_in + 31 * n_out + 10) AS BIGINT) AS weight, round(CAST(sum(fee) AS DOUBLE) / (sum(68 * n_in + 31 * n_out + 10) / 4.0), 6) AS fee_rate FROM {mempool} GROUP BY added_seq div 25")
 
 
-@register("approximate_addresses", "SELECT count(DISTINCT address) AS n FROM tx_outputs")
+@register("distinct_addresses", "SELECT count(*) AS n FROM (SELECT address FROM tx_outputs GROUP BY address)")
 def _exact(ledger: Ledger) -> DataFrame:
-    """Exact distinct count; address_sketch is the approximate one."""
     return ledger["tx_outputs"].agg(F.countDistinct("address").alias("n"))
 
 
+@register("approximate_addresses")
+def _sketched(ledger: Ledger) -> DataFrame:
+    return address_sketch(ledger["tx_outputs"])
+
+
 def address_sketch(outputs: DataFrame, relative_error: float = 0.02) -> DataFrame:
+    """Estimate of distinct addresses by a HyperLogLog sketch of this relative standard deviation."""
     return outputs.agg(F.approx_count_distinct("address", relative_error).alias("n"))

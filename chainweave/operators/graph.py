@@ -116,6 +116,47 @@ def _limits(ledger: Ledger) -> DataFrame:
     return ledger["mempool"].select("txid").join(counts, "txid", "left").select("txid", within.alias("within"), F.when(within, F.coalesce("n", F.lit(0))).alias("n"))
 
 
+def within_policy(edges: DataFrame, limit: int = MAX_ANCESTORS) -> DataFrame:
+    """(node, ancestor) of all generations, for nodes of at most `limit` ancestors, as many as policy admits; ancestor_limits names those beyond."""
+    found = ancestors(edges, limit)
+    full = found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("node")
+    return found.join(full, "node", "left_anti")
+
+
+_CLOSURE = """WITH RECURSIVE closure(node, ancestor) AS (SELECT child, parent FROM pool_edges UNION SELECT c.node, e.parent FROM closure c JOIN pool_edges e ON e.child = c.ancestor)
+    SELECT {select} FROM closure WHERE {by} IN (SELECT {by} FROM closure GROUP BY {by} HAVING count(*) <= %d)""" % MAX_ANCESTORS
+
+
+@register("pool_ancestors", _CLOSURE.format(select="node AS txid, ancestor", by="node"))
+def _pool_ancestors(ledger: Ledger) -> DataFrame:
+    return within_policy(cut(ledger["pool_edges"], "edges")).select(F.col("node").alias("txid"), "ancestor")
+
+
+@register("pool_descendants", _CLOSURE.format(select="ancestor AS txid, node AS descendant", by="ancestor"))
+def _pool_descendants(ledger: Ledger) -> DataFrame:
+    """Ancestors over the same edges the other way round."""
+    back = cut(ledger["pool_edges"].select(F.col("child").alias("parent"), F.col("parent").alias("child")), "edges")
+    return within_policy(back).select(F.col("node").alias("txid"), F.col("ancestor").alias("descendant"))
+
+
+def reconsidered(blocks: DataFrame, marked: DataFrame, block: DataFrame) -> DataFrame:
+    """blocks with invalid, as after marks were taken off these blocks (block_hash) and all that descend from them; other marks stay."""
+    below = pruned_by_descent(blocks, block).filter("invalid").select("block_hash")
+    return pruned_by_descent(blocks, marked.join(below, "block_hash", "left_anti"))
+
+
+@register(
+    "reconsidered_blocks",
+    "SELECT sha256('fork2-' || height) AS block_hash, height + 2 AS height FROM blocks WHERE height = 250",
+)
+def _reconsidered(ledger: Ledger) -> DataFrame:
+    """Blocks 351 and 500 of the active chain and the end of the branch after 250 and of that after 450 are marked, then 351 is reconsidered: with it go the marks behind it, and only the branch that left before keeps its own."""
+    chain = forked(ledger["blocks"])
+    ends = chain.filter("height IN (252, 452)").join(ledger["blocks"].select("block_hash"), "block_hash", "left_anti").select("block_hash")
+    marked = ledger["blocks"].filter("height IN (351, 500)").select("block_hash").unionByName(ends)
+    return reconsidered(chain, marked, ledger["blocks"].filter("height = 351").select("block_hash")).filter("invalid").select("block_hash", "height")
+
+
 register_sql("pool_edges", "SELECT parent, child FROM {pool_edges}")
 register_sql("pool_parents", "SELECT e.child AS txid, m.txid AS parent, m.fee, m.vsize FROM {pool_edges} e JOIN {mempool} m ON m.txid = e.parent")
 register_sql("pool_children", "SELECT e.parent AS txid, m.txid AS child, m.fee, m.vsize FROM {pool_edges} e JOIN {mempool} m ON m.txid = e.child")
@@ -140,9 +181,9 @@ def merkle_levels(block_txs: DataFrame) -> DataFrame:
     return level.select("height", F.lower(reversed_hex(F.hex("d"))).alias("root"))
 
 
-@register("merkle_roots_of_pairs", "SELECT height, max(CASE WHEN tx_index = 0 THEN txid END) AS first, count(*) AS n FROM txs GROUP BY height")
-def _merkle_input(ledger: Ledger) -> DataFrame:
-    """Leaves of each block's tree in short; merkle_roots has the roots, which SQL alone can't fold."""
+@register("block_first_transactions", "SELECT height, max(CASE WHEN tx_index = 0 THEN txid END) AS first, count(*) AS n FROM txs GROUP BY height")
+def _first_transactions(ledger: Ledger) -> DataFrame:
+    """The transaction that stands first in each block, and how many the block has."""
     t = ledger["txs"]
     return t.groupBy("height").agg(F.max(F.when(F.col("tx_index") == 0, F.col("txid"))).alias("first"), F.count(F.lit(1)).alias("n"))
 

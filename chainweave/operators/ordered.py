@@ -8,10 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainweave.functions.hashing import block_work, chainwork_hex, difficulty
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
 
-register_sql("chainwork", "SELECT height, block_hash, CAST(sum(1) OVER (ORDER BY height) AS BIGINT) AS work FROM {blocks}")
+
+@register(
+    "chainwork",
+    "SELECT height, block_hash, work::VARCHAR AS work, lpad(printf('%x', work::BIGINT), 64, '0') AS chainwork FROM (SELECT height, block_hash, sum((281474976710656 - 1) // (bits % 16777216)) OVER (ORDER BY height) AS work FROM blocks)",
+)
+def _chainwork(ledger: Ledger) -> DataFrame:
+    """Work of a block and all before it, exact, in digits and as interfaces show it."""
+    worked = ledger["blocks"].select("height", "block_hash", block_work(F.col("bits")).alias("own"))
+    total = worked.select("height", "block_hash", F.sum("own").over(Window.orderBy("height").rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(38,0)").alias("total"))
+    return total.select("height", "block_hash", F.col("total").cast("string").alias("work"), chainwork_hex(F.col("total")).alias("chainwork"))
+
+
+@register("block_difficulty", "SELECT height, bits, round(65535.0::DOUBLE / (bits % 16777216), 9) AS difficulty FROM blocks")
+def _difficulty(ledger: Ledger) -> DataFrame:
+    return ledger["blocks"].select("height", "bits", F.round(difficulty(F.col("bits")), 9).alias("difficulty"))
+
+
 register_sql("confirmations", "SELECT height, greatest((SELECT max(height) FROM {blocks}) - height + 1, 0) AS confirmations FROM {blocks}")
 register_sql("recent_headers", "SELECT height, block_hash, ts FROM (SELECT height, block_hash, ts FROM {blocks} ORDER BY height DESC LIMIT 11) t ORDER BY height")
 register_sql("linkage_check", "SELECT height, prev_hash = expected AS linked FROM (SELECT height, prev_hash, lag(block_hash) OVER (ORDER BY height) AS expected FROM {blocks} WHERE height >= (SELECT max(height) FROM {blocks}) - 288) t WHERE expected IS NOT NULL")

@@ -102,5 +102,28 @@ def _pruned(ledger: Ledger) -> DataFrame:
     return prune(ledger["blocks"], 700, 200).select("height", "block_hash", "has_body")
 
 
+def prune_aggressively(blocks: DataFrame, target: int, keep_from: int, keep_commitments: bool = True, keep_filtered: bool = False, recent: int = 144) -> DataFrame:
+    """blocks as prune leaves them, with what goes besides: below the same height filters, and witnesses unless filtered blocks are kept. has_commitment: whether a commitment was written before the body went."""
+    gone = ~F.col("has_body")
+    return prune(blocks, target, keep_from, recent).withColumns({"has_witness": ~gone | F.lit(keep_filtered), "has_filter": ~gone, "has_commitment": gone & F.lit(keep_commitments)})
+
+
+def prune_components(blocks: DataFrame, target: int, bodies_from: int, keep_headers: bool = True, keep_commitments: bool = True, keep_filters: bool = True, keep_witnesses: bool = False) -> DataFrame:
+    """blocks with a flag for each component that stays. The height is the lower of target and bodies_from, without regard to the tip; headers of filters always stay, and a kept filter leaves the cache only."""
+    gone = F.col("height") < min(target, bodies_from)
+    return blocks.withColumns({"has_header": F.lit(keep_headers) | ~gone, "has_body": ~gone, "has_witness": ~gone | F.lit(keep_witnesses), "has_commitment": gone & F.lit(keep_commitments), "filter_cached": ~(gone & F.lit(keep_filters))})
+
+
+@register("pruned_aggressively", "SELECT height, height >= f AS has_body, height >= f AS has_witness, height >= f AS has_filter, height < f AS has_commitment FROM blocks, (SELECT least(900, greatest(100, max(height) - 144)) AS f FROM blocks) x")
+def _aggressively(ledger: Ledger) -> DataFrame:
+    return prune_aggressively(ledger["blocks"], 900, 100).select("height", "has_body", "has_witness", "has_filter", "has_commitment")
+
+
+@register("pruned_components", "SELECT height, TRUE AS has_header, height >= 400 AS has_body, TRUE AS has_witness, FALSE AS has_commitment, height >= 400 AS filter_cached FROM blocks")
+def _components(ledger: Ledger) -> DataFrame:
+    kept = prune_components(ledger["blocks"], 1000, 400, keep_commitments=False, keep_witnesses=True)
+    return kept.select("height", "has_header", "has_body", "has_witness", "has_commitment", "filter_cached")
+
+
 register_sql("auto_prune_due", "SELECT max(height) AS height, max(height) >= 500 + 144 AS due FROM {blocks}")
 register_sql("recovered_tip", "SELECT max_by(block_hash, height) AS block_hash, max(height) AS height, max_by(ts, height) AS ts FROM {blocks}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainweave.functions.filters import block_filters
+from chainweave.functions.hashing import short_tx_id
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
 
@@ -44,8 +46,41 @@ register_sql(
     "package_verdicts",
     "SELECT package, n, weight, CASE WHEN n > 25 THEN 'too many' WHEN weight > 20000 THEN 'too heavy' WHEN fees > 0 AND fees * 4 < 1000 * weight THEN 'low rate' ELSE 'ok' END AS verdict FROM (SELECT CAST(added_seq div 30 AS BIGINT) AS package, count(*) AS n, CAST(sum(68 * n_in + 31 * n_out + 10) AS BIGINT) AS weight, CAST(sum(fee) AS BIGINT) AS fees FROM {mempool} GROUP BY added_seq div 30) t",
 )
-register_sql("compact_block_split", "SELECT height, tx_index, txid, CASE WHEN tx_index = 0 THEN 'prefilled' ELSE 'short' END AS kind, CASE WHEN tx_index > 0 THEN substring(sha2(concat(txid, '7'), 256), 1, 12) END AS short_id FROM {txs} WHERE height = 150")
-register_sql("compact_block_missing", "SELECT b.height, b.tx_index, b.txid FROM {txs} b WHERE b.height BETWEEN 150 AND 160 AND NOT EXISTS (SELECT 1 FROM {txs} m WHERE m.seq % 3 <> 0 AND substring(sha2(concat(m.txid, '7'), 256), 1, 12) = substring(sha2(concat(b.txid, '7'), 256), 1, 12))")
+#: Nonce of the compact blocks below; ids are SipHash under it and its successor.
+NONCE = 7
+
+
+@register("compact_block_split")
+def _compact(ledger: Ledger) -> DataFrame:
+    """Block 150 as a compact block: the first transaction in full, six bytes of the others."""
+    t = ledger["txs"].filter("height = 150").select("height", "tx_index", "txid", short_tx_id(NONCE)("txid").alias("id"))
+    return t.select("height", "tx_index", "txid", F.when(F.col("tx_index") == 0, "prefilled").otherwise("short").alias("kind"), F.when(F.col("tx_index") > 0, F.col("id")).alias("short_id"))
+
+
+@register("compact_block_missing", "SELECT height, tx_index, txid FROM txs WHERE height BETWEEN 150 AND 160 AND seq % 3 = 0")
+def _missing(ledger: Ledger) -> DataFrame:
+    """Transactions of the blocks whose short ids no known transaction has; two in three are known."""
+    ids = ledger["txs"].withColumn("id", short_tx_id(NONCE)("txid"))
+    return ids.filter("height BETWEEN 150 AND 160").join(ids.filter("seq % 3 <> 0").select("id"), "id", "left_anti").select("height", "tx_index", "txid")
+
+
+@register("block_filters")
+def _filters(ledger: Ledger) -> DataFrame:
+    """Filter of every block: scripts of what it pays and of what it spends, addresses standing for scripts."""
+    outputs = ledger["tx_outputs"]
+    spent = ledger["tx_inputs"].select("height", F.col("prev_txid").alias("txid"), F.col("prev_vout").alias("vout")).join(outputs.select("txid", "vout", "address"), ["txid", "vout"])
+    # Equal scripts of a block meet before its hash is joined and its set is built.
+    pairs = outputs.select("height", "address").unionByName(spent.select("height", "address")).distinct()
+    named = ledger["blocks"].select("height", "block_hash").join(pairs, "height", "left")
+    return block_filters(named.select("height", "block_hash", F.encode(F.col("address").cast("string"), "UTF-8").alias("script")))
+
+
+@register("block_filter_sizes", "SELECT b.height, count(DISTINCT s.address) AS n_items FROM blocks b LEFT JOIN (SELECT height, address FROM tx_outputs UNION ALL SELECT i.height, o.address FROM tx_inputs i JOIN tx_outputs o ON o.txid = i.prev_txid AND o.vout = i.prev_vout) s ON s.height = b.height GROUP BY b.height")
+def _filter_sizes(ledger: Ledger) -> DataFrame:
+    """How many items the filters hold, as their first bytes say."""
+    return _filters(ledger).select("height", "n_items")
+
+
 register_sql("denylist_merged", "SELECT block_hash FROM {blocks} WHERE height < 20 UNION SELECT block_hash FROM {blocks} WHERE height BETWEEN 10 AND 30")
 
 

@@ -20,6 +20,8 @@ SPEND_AFTER, SPREAD = 1, 16
 POOL_FROM = 0.95
 #: Bytes of an input, of an output and of a transaction without either.
 INPUT_BYTES, OUTPUT_BYTES, BASE_BYTES = 148, 34, 10
+#: Compact target of the first blocks, what a period takes off its mantissa, and the blocks of a period; after PERIODS periods it starts anew.
+FIRST_BITS, HARDER, PERIOD, PERIODS = 0x1D00FFFF, 0x1111, 500, 15
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 LINE_COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -56,7 +58,8 @@ class Ledger:
         h = (F.row_number().over(Window.orderBy("o_orderdate")) - 1).cast("long")
         hashed = lambda c: F.sha2(c.cast("string"), 256)
         b = dates.select(h.alias("height"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"), "n_tx")
-        return b.select("height", hashed(F.col("height")).alias("block_hash"), F.when(F.col("height") > 0, hashed(F.col("height") - 1)).alias("prev_hash"), "ts", "n_tx")
+        bits = F.expr(f"{FIRST_BITS} - {HARDER} * (height div {PERIOD} % {PERIODS})").cast("long")
+        return b.select("height", hashed(F.col("height")).alias("block_hash"), F.when(F.col("height") > 0, hashed(F.col("height") - 1)).alias("prev_hash"), "ts", "n_tx", bits.alias("bits"))
 
     def _seqs(self) -> DataFrame:
         """Transactions by order key and seq, without digests: what joins and counts go by."""
@@ -130,7 +133,7 @@ class Ledger:
 #: The same relations as common table expressions; each lists those it needs by naming them.
 CTES = {
     "seq_orders": "SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq, dense_rank() OVER (ORDER BY o_orderdate) - 1 AS height, count(*) OVER () AS n_all FROM orders",
-    "blocks": "SELECT height, sha256(height::VARCHAR) AS block_hash, CASE WHEN height > 0 THEN sha256((height - 1)::VARCHAR) END AS prev_hash, epoch(min(o_orderdate))::BIGINT AS ts, count(*) AS n_tx FROM seq_orders GROUP BY height",
+    "blocks": f"SELECT height, sha256(height::VARCHAR) AS block_hash, CASE WHEN height > 0 THEN sha256((height - 1)::VARCHAR) END AS prev_hash, epoch(min(o_orderdate))::BIGINT AS ts, count(*) AS n_tx, {FIRST_BITS}::BIGINT - {HARDER} * (height // {PERIOD} % {PERIODS}) AS bits FROM seq_orders GROUP BY height",
     "txs": f"SELECT sha256(o_orderkey::VARCHAR) AS txid, height, row_number() OVER (PARTITION BY height ORDER BY o_orderkey) - 1 AS tx_index, seq, o_custkey AS custkey, epoch(o_orderdate)::BIGINT AS ts, seq > floor(n_all * {POOL_FROM}::DOUBLE) AS pending, o_orderkey FROM seq_orders",
     "outputs_": f"SELECT txid, height, seq, pending, l_linestatus, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_COLUMNS)}) - 1 AS vout, round(l_extendedprice * 100)::BIGINT AS value, l_suppkey AS address FROM lineitem JOIN txs ON o_orderkey = l_orderkey",
     "tx_outputs": "SELECT txid, height, vout, value, address, pending FROM outputs_",
