@@ -29,6 +29,8 @@ from chainweave.llm.common import held, unused
 
 #: Entries kept in each cache of a Python worker.
 CACHE_ENTRIES = 200_000
+#: Pairs of tokens whose test is kept in a Python worker.
+PAIR_ENTRIES = 500_000
 #: Pieces longer than this are not cached.
 CACHE_CHARS = 64
 #: Characters from which on a piece's table is packed.
@@ -148,8 +150,9 @@ class PrefixBpe:
                 x_end, x = rx, self.right[x]
             else:
                 y_end, y = ry, self.left[y]
-        if len(self.pairs) >= CACHE_ENTRIES:
-            self.pairs.clear()
+        if len(self.pairs) >= PAIR_ENTRIES:
+            for old in list(islice(self.pairs, PAIR_ENTRIES // 4)):
+                del self.pairs[old]
         self.pairs[key] = good
         return good
 
@@ -200,17 +203,36 @@ class PrefixBpe:
             last[i], count[i] = token, count[start] + 1
         return last, count
 
+    def last_tokens(self, symbols: str) -> list[int]:
+        """The last token of every prefix but the empty one, by the place where it ends (-1: none): table without counts."""
+        n = len(symbols)
+        last = [-1] * n if n < LONG_PIECE else array("i", [-1]) * n
+        known, stays = self.pairs.get, self.stays
+        for end, (token, length) in self.automaton.iter(symbols):
+            if last[end] < 0:
+                start = end - length
+                if start < 0:
+                    last[end] = token
+                else:
+                    before = last[start]
+                    if before >= 0:
+                        ok = known(before << 20 | token)
+                        if ok or ok is None and stays(before, token):
+                            last[end] = token
+        return last
+
     def encode(self, piece: str) -> list[int]:
         s = self.symbols(piece)
-        last, _ = self.table(s)
-        i, out = len(s), []
-        while i > 0:
+        last = self.last_tokens(s)
+        i, out, lengths = len(s) - 1, [], self.lengths
+        while i >= 0:
             token = last[i]
             if token < 0:
                 raise ValueError("the vocabulary lacks a byte of this text")
             out.append(token)
-            i -= self.lengths[token]
-        return out[::-1]
+            i -= lengths[token]
+        out.reverse()
+        return out
 
     def normal(self, text: str) -> str:
         """The text as the vocabulary's normalizer leaves it, white space aside. Lower case goes by character."""
@@ -219,10 +241,17 @@ class PrefixBpe:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
+    def has_special(self, text: str) -> bool:
+        return any(map(text.__contains__, self.special))
+
+    def plain_pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text that holds no special token."""
+        return self.pattern.findall(self.normal(text))
+
     def pieces(self, text: str) -> list[str | int]:
         """Pre-tokens of a text; special tokens as their ids."""
-        if not any(map(text.__contains__, self.special)):
-            return self.pattern.findall(self.normal(text))
+        if not self.has_special(text):
+            return self.plain_pieces(text)
         out: list[str | int] = []
         for k, part in enumerate(self.special_pattern.split(text)):
             out += [self.special[part]] if k % 2 else self.pattern.findall(self.normal(part))
@@ -239,14 +268,25 @@ class TextEncoder:
 
     def __init__(self, path: str) -> None:
         self.bpe = PrefixBpe(path)
-        self.by_piece = Bounded(lambda p: struct.pack(f"<{len(ids := self.bpe.encode(p))}I", *ids))
-        self.by_chunk = Bounded(lambda chunk: self._packed(" " + chunk))
+        self.by_piece = Bounded(self._piece)
+        self.by_chunk = Bounded(self._chunk)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.bpe.encode(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk of a text without special tokens, and of the space before it. One that is a single piece is kept as a chunk only."""
+        pieces = self.bpe.plain_pieces(" " + chunk)
+        if len(pieces) == 1:
+            return self.by_piece.get(pieces[0]) or self._piece(pieces[0])
+        return b"".join(map(self.by_piece.__getitem__, pieces))
 
     def _packed(self, text: str) -> bytes:
         return b"".join(struct.pack("<I", p) if isinstance(p, int) else self.by_piece[p] for p in self.bpe.pieces(text))
 
     def packed(self, text: str) -> bytes:
-        if not self.bpe.keeps_space or not spaced_evenly(text):
+        if not self.bpe.keeps_space or not spaced_evenly(text) or self.bpe.has_special(text):
             return self._packed(text)
         first, *rest = text.split(" ")
         return self._packed(first) + b"".join(map(self.by_chunk.__getitem__, rest))
