@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chainweave.llm.common import held, unused
+from chainweave.llm.common import held, mapped, unused
 
 #: Entries kept in each cache of a Python worker.
 CACHE_ENTRIES = 200_000
 #: Pairs of tokens whose test is kept in a Python worker.
-PAIR_ENTRIES = 500_000
+PAIR_ENTRIES = 250_000
 #: Pieces longer than this are not cached.
 CACHE_CHARS = 64
 #: Characters from which on a piece's table is packed.
@@ -350,4 +350,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep_
                     names=[*(f.name for f in others), *names],
                 )
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

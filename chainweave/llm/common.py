@@ -91,6 +91,16 @@ def chars_of(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
 
 
+#: Bytes of rows that a Python worker is handed at a time; a batch ends with the row that reaches them.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """df.mapInArrow in batches of BATCH_BYTES, which bounds what a task keeps of the texts on either side. This is a setting of the session, read when the plan runs; it changes no result."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 _held: dict[tuple, object] = {}
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainweave.llm.common import drop_since, mark, release, stored, unused
+from chainweave.llm.common import drop_since, mapped, mark, release, stored, unused
 
 #: Words of a shingle, and similarity from which on texts are linked, as a fraction.
 WORDS, SIMILAR = 5, (4, 5)
@@ -138,7 +138,7 @@ def embeddings(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sketch = pa.array([row.tobytes() for row in (places & 255).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays([keys, pa.array(distinct[full], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(places.ravel())), sketch], names=["key", "n_shingles", "places", "sketch"])
 
-    return docs.mapInArrow(run, "key binary, n_shingles bigint, places array<int>, sketch binary")
+    return mapped(docs, run, "key binary, n_shingles bigint, places array<int>, sketch binary")
 
 
 def runs_needed(recall: float = RECALL, similar: float = SIMILAR[0] / SIMILAR[1]) -> int:
@@ -493,7 +493,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rows = _block_pairs(rows).select("leaf", "i", "j", "side", "key", "copies", "leaves", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.repartition(n, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "side", "key")
-    links = stored(blocks.mapInArrow(_search(words, similar), _RESULT), "join-links")
+    links = stored(mapped(blocks, _search(words, similar), _RESULT), "join-links")
     drop_since(docs.sparkSession, start, members, classes, links)
     counts = links.filter("other IS NULL").groupBy("key").agg(F.sum("links").alias("links"))
     joined = components(links.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from chainweave.llm.bpe import END, Bounded, PrefixBpe
-from chainweave.llm.common import held, unused
+from chainweave.llm.common import held, mapped, unused
 
 
 class PrefixCounter:
@@ -123,4 +123,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text: str
             arrays = [*(batch.column(f.name) for f in others), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in others), *names])
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)

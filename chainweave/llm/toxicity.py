@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainweave.llm.common import drop_since, mark, release, stored, unused
+from chainweave.llm.common import drop_since, mapped, mark, release, stored, unused
 
 #: Words of a window and from one window's start to the next.
 WINDOW, STRIDE = 32, 16
@@ -460,7 +460,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["at", "n"])
 
-    found = sample.mapInArrow(count, "at int, n int").groupBy("at").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    found = mapped(sample, count, "at int, n int").groupBy("at").agg(F.sum("n").cast("int").alias("n")).toArrow()
     counts = np.zeros(4 * (PRIOR_BUCKETS + 1), np.int32)
     counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
     counts = counts.reshape(2, 2, PRIOR_BUCKETS + 1)
@@ -478,7 +478,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     words.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(half, pa.int32()), pa.array(y, pa.int64()), pa.array(words, pa.list_(pa.string()))], names=["id", "half", "y", "words"])
 
-    windows_ = sample.mapInArrow(pick, "id string, half int, y bigint, words array<string>").collect()
+    windows_ = mapped(sample, pick, "id string, half int, y bigint, words array<string>").collect()
     learn(model, [(r["half"], r["words"], r["y"]) for r in sorted(windows_, key=lambda r: (r["id"], r["words"]))], priors)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,7 +486,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_in_slices(batch.column("text"), scorer.logits), pa.float64()), batch.column("y")], names=["logit", "y"])
 
-    held = sample.filter("part = 0").mapInArrow(judge, "logit double, y bigint").toArrow()
+    held = mapped(sample.filter("part = 0"), judge, "logit double, y bigint").toArrow()
     model.shift = _best_cut(held.column("logit").to_numpy(), held.column("y").to_numpy())
     drop_since(spark, before)
     return model
@@ -523,4 +523,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
             s = _in_slices(batch.column(read), scorer.scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
