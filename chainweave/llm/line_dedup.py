@@ -91,7 +91,7 @@ ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
 l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 shared AS (SELECT line FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
-  GROUP BY line HAVING count(DISTINCT coalesce('=' || source, 'null')) >= {MIN_SITES}),
+  GROUP BY line HAVING count(DISTINCT coalesce('=' || source, 'null')) >= CASE WHEN len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {LONG_WORDS} THEN {min(MIN_SITES, LONG_SITES)} ELSE {MIN_SITES} END),
 m AS (SELECT l.*, shared.line IS NOT NULL AS gone, regexp_matches(l.line, '[^\\x20\\x09-\\x0D]') AS worded FROM l LEFT JOIN shared ON l.line = shared.line),
 a AS (SELECT rid, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed FROM m GROUP BY rid)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(a.t, '') END AS text,

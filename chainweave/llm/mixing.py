@@ -195,7 +195,8 @@ h AS (SELECT name, round(sum(target) OVER (ORDER BY name ROWS UNBOUNDED PRECEDIN
 h2 AS (SELECT name, CASE WHEN high = max(high) OVER () THEN 4294967296 ELSE high END AS high FROM h),
 r AS (SELECT name, high, coalesce(lag(high) OVER (ORDER BY name), 0) AS low FROM h2),
 slots AS (SELECT (i * {GOLDEN}) % 4294967296 AS point FROM p, unnest(range(ceil(wanted / block)::BIGINT)) AS u(i)),
-k AS (SELECT r.name, count(*) * any_value(p.block) AS taken FROM slots JOIN r ON point >= low AND point < high, p GROUP BY r.name),
+g AS (SELECT r.name, count(*) * any_value(p.block) AS taken FROM slots JOIN r ON point >= low AND point < high, p GROUP BY r.name),
+k AS (SELECT t.name, CASE WHEN t.target > 0 AND t.target < {SMALL_BLOCKS} * p.block THEN greatest(1, round(t.target)::BIGINT) ELSE coalesce(g.taken, 0) END AS taken FROM t CROSS JOIN p LEFT JOIN g ON g.name = t.name),
 o AS (SELECT *, row_number() OVER () AS rid, coalesce(sum(size) OVER (PARTITION BY name ORDER BY ord, doc_id, size, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM d)
 SELECT o.doc_id, o.size, t.source_size, t.target,
   (greatest(0, least(o.size, coalesce(k.taken, 0) - o.first)) + greatest(0, least(o.size, coalesce(k.taken, 0) - t.source_size - o.first)))::BIGINT AS taken

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +133,9 @@ def test_long_lines_need_fewer_sites(spark):
             n = next(n for n, line in long.items() if line == lines[0])
             lines = lines[:1] * (n < 5) + lines[1:2] * (n < 10) + lines[2:]
         assert got[i] == lines
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], columns=["doc_id", "text", "source"]))
+    assert {i: t.split("\n") for i, t in con.sql(f"SELECT doc_id, text FROM ({line_dedup.ORACLE})").fetchall()} == got
 
 
 def levels(sizes, weights, share, most):
@@ -187,6 +192,10 @@ def test_small_sources_are_mixed_at_any_size(spark, monkeypatch):
     want = levels(sizes, (3, 1, 2), 1.5, 2)
     assert all(abs(taken[s] - t) <= max(1, 0.01 * t) for s, t in want.items()), (taken, want)
     assert words == taken
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    known = con.sql(f"SELECT doc_id, taken FROM ({mixing.ORACLE.replace('/ 131072)', '/ 600)')})").fetchall()
+    assert dict(known) == {r["doc_id"]: r["taken"] for r in mixing.mixed_sizes(docs).collect()}
 
 
 def jaccard_links(texts):
