@@ -188,6 +188,15 @@ def _first_transactions(ledger: Ledger) -> DataFrame:
     return t.groupBy("height").agg(F.max(F.when(F.col("tx_index") == 0, F.col("txid"))).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-@register("merkle_roots")
+_REVERSED = "array_to_string(list_reverse(regexp_extract_all({}, '..')), '')"
+
+
+@register(
+    "merkle_roots",
+    f"""WITH RECURSIVE m AS (SELECT height, list({_REVERSED.format('txid')} ORDER BY tx_index) AS l FROM txs GROUP BY height
+    UNION ALL SELECT height, list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(unhex(sha256(unhex(l[2 * i + 1] || coalesce(l[2 * i + 2], l[2 * i + 1])))))) FROM m WHERE len(l) > 1)
+    SELECT height, {_REVERSED.format('l[1]')} AS root FROM m WHERE len(l) = 1""",
+)
 def _merkle(ledger: Ledger) -> DataFrame:
+    """The root over each block's transactions. The SQL reduces each block's list of digests by itself."""
     return merkle_levels(ledger["txs"])

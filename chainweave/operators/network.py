@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from chainweave.registry import register, register_sql
 from chainweave.views import Ledger
@@ -130,26 +136,63 @@ register_sql("peer_info", "SELECT peer, count(*) AS messages, min(sec) AS first_
 register_sql("connection_count", "SELECT count(DISTINCT peer) AS n FROM {peer_samples} WHERE sec > (SELECT max(sec) FROM {peer_samples}) - 86400")
 
 
+def _fold(rows: DataFrame, step: Callable[[], Callable[..., tuple]], fields: list[str], schema: str) -> DataFrame:
+    """(key, at, id and what step gives) of rows (key and fields), each key's in order of at and id.
+
+    step() starts a key: it gives the function that takes the row's fields in turn. Rows stream through a sort, so that a key of any number of rows takes the memory of a batch and of what its function keeps; a null key is a key.
+    """
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, take = None, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", *fields)]
+            out = []
+            for k, *values in zip(*columns, strict=True):
+                if take is None or k != key:
+                    key, take = k, step()
+                out.append((k, values[0], values[1], *take(*values)))
+            made = zip(*out, strict=True) if out else [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, arrow, strict=True)], schema=arrow)
+
+    return rows.select("key", *fields).repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(run, schema)
+
+
 def sliding_log(attempts: DataFrame, window: int, most: int) -> DataFrame:
     """(key, at, id) with accepted: an attempt is accepted if fewer than `most` accepted ones lie in (at - window, at]; rejected ones don't count.
 
-    Acceptance depends on what was accepted before, so a key's attempts are folded in order, with the accepted times of the window as state. A key's attempts make one array.
+    Acceptance depends on what was accepted before, so a key's attempts are folded in order, with the accepted times of the window as state. Attempts without a time are rejected. Repeated rows are attempts of their own; an empty table gives an empty one.
     """
-    ordered = attempts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("a"))
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<at:bigint,id:bigint,accepted:boolean>>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        live = F.filter(acc["log"], lambda t: t > s["at"] - window)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.array_append(live, s["at"])).otherwise(live).alias("log"), F.array_append(acc["out"], F.struct(s["at"].alias("at"), s["id"].alias("id"), ok.alias("accepted"))).alias("out"))
+    def start() -> Callable[..., tuple]:
+        log: deque[int] = deque()
+
+        def take(at: int | None, _: int) -> tuple:
+            if at is None:
+                return (False,)
+            while log and log[0] <= at - window:
+                log.popleft()
+            if len(log) < most:
+                log.append(at)
+                return (True,)
+            return (False,)
+
+        return take
 
-    folded = ordered.select("key", F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select("key", "r.at", "r.id", "r.accepted")
+    return _fold(attempts, start, ["at", "id"], "key bigint, at bigint, id bigint, accepted boolean")
 
 
-@register("connection_limiter")
+#: A fold in SQL: every step takes the next attempt of each peer.
+_LIVE = "list_filter(f.log, lambda t: t > s.sec - 43200)"
+LIMITED = f"""WITH RECURSIVE s AS (SELECT peer, sec, event_id, row_number() OVER (PARTITION BY peer ORDER BY sec, event_id) AS n FROM peer_samples),
+    f AS (SELECT peer, sec, event_id, n, [sec] AS log, true AS accepted FROM s WHERE n = 1
+      UNION ALL SELECT s.peer, s.sec, s.event_id, s.n, CASE WHEN len({_LIVE}) < 3 THEN list_append({_LIVE}, s.sec) ELSE {_LIVE} END, len({_LIVE}) < 3 FROM f JOIN s ON s.peer = f.peer AND s.n = f.n + 1)
+    SELECT peer AS key, sec AS at, event_id AS id, accepted FROM f"""
+
+
+@register("connection_limiter", LIMITED)
 def _limiter(ledger: Ledger) -> DataFrame:
-    """At most 3 connections a peer in 12 hours. The oracle would need a fold, which SQL lacks."""
+    """At most 3 connections a peer in 12 hours."""
     return sliding_log(ledger["peer_samples"].select(F.col("peer").alias("key"), F.col("sec").alias("at"), F.col("event_id").alias("id")), 43200, 3)
 
 
@@ -157,22 +200,37 @@ register_sql("auto_bans", "SELECT peer, count(*) AS violations FROM {peer_sample
 
 
 def reset_windows(samples: DataFrame, length: int) -> DataFrame:
-    """(key, at, id, amount) with start and used: a window opens at the first sample after the last one's end, and sums amounts until it ends; it is neither aligned nor sliding."""
-    ordered = samples.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id", "amount"))).alias("a"))
-    start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<at:bigint,id:bigint,start:bigint,used:bigint>>").alias("out"))
+    """(key, at, id, amount) with start and used: a window opens at the first sample after the last one's end, and sums amounts until it ends; it is neither aligned nor sliding.
+
+    Samples without a time belong to no window: start and used are null. A null amount counts 0. Repeated rows count each; an empty table gives an empty one.
+    """
+
+    def start() -> Callable[..., tuple]:
+        begin, used = None, 0
+
+        def take(at: int | None, _: int, amount: int | None) -> tuple:
+            nonlocal begin, used
+            if at is None:
+                return None, None
+            if begin is None or at - begin >= length:
+                begin, used = at, 0
+            used += amount or 0
+            return begin, used
+
+        return take
+
+    return _fold(samples, start, ["at", "id", "amount"], "key bigint, at bigint, id bigint, start bigint, used bigint")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = acc["start"].isNull() | (s["at"] - acc["start"] >= length)
-        begin = F.when(fresh, s["at"]).otherwise(acc["start"])
-        used = F.when(fresh, F.lit(0).cast("bigint")).otherwise(acc["used"]) + s["amount"]
-        return F.struct(begin.alias("start"), used.alias("used"), F.array_append(acc["out"], F.struct(s["at"].alias("at"), s["id"].alias("id"), begin.alias("start"), used.alias("used"))).alias("out"))
 
-    folded = ordered.select("key", F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r"))
-    return folded.select("key", "r.at", "r.id", "r.start", "r.used")
+_RESET = """WITH RECURSIVE s AS (SELECT peer, sec, event_id, round(amount * 100)::BIGINT AS v, row_number() OVER (PARTITION BY peer ORDER BY sec, event_id) AS n FROM peer_samples),
+    f AS (SELECT peer, sec, event_id, n, sec AS start, v AS used FROM s WHERE n = 1
+      UNION ALL SELECT s.peer, s.sec, s.event_id, s.n, CASE WHEN s.sec - f.start >= 86400 THEN s.sec ELSE f.start END, CASE WHEN s.sec - f.start >= 86400 THEN s.v ELSE f.used + s.v END FROM f JOIN s ON s.peer = f.peer AND s.n = f.n + 1)
+    SELECT peer AS key, sec AS at, event_id AS id, start, used FROM f"""
 
 
-@register("bandwidth_reset_windows")
+@register("bandwidth_reset_windows", _RESET)
 def _reset(ledger: Ledger) -> DataFrame:
+    """Hundredths of amounts in windows of a day that open when the last has ended."""
     return reset_windows(ledger["peer_samples"].select(F.col("peer").alias("key"), F.col("sec").alias("at"), F.col("event_id").alias("id"), F.round(F.col("amount") * 100).cast("long").alias("amount")), 86400)
 
 

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainweave.plans.lineage import shared_dir
-
 #: A snapshot file: block hash (32 bytes), height, outputs, amount (8 each), set digest (28 of them zero-padded to 28) make 84 bytes; entries follow, each after its length.
 HEADER, HEADER_BYTES = "<32sQQQ28s", 84
 ENTRY, ENTRY_BYTES = "<32sIqQB", 53
+#: Entries that a reader holds as rows at a time; a file itself is one binary value, of 2 GB at most.
+BATCH_ENTRIES = 10_000
 
 
 def encode_snapshot(block_hash: bytes, height: int, entries: list[tuple[bytes, int, int, int, bool, bytes]], digest: bytes = b"") -> bytes:
@@ -30,23 +30,31 @@ def encode_snapshot(block_hash: bytes, height: int, entries: list[tuple[bytes, i
 def read_snapshots(files: DataFrame) -> DataFrame:
     """(block_hash, snapshot_height, txid, vout, value, height, coinbase, script) of snapshot files, as the binaryFile source reads them. Fails on a file that ends early or has another number of entries than its header says."""
 
+    names = ["block_hash", "snapshot_height", "txid", "vout", "value", "height", "coinbase", "script"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
+            for content in batch.column("content"):
+                data = memoryview(content.as_buffer())
                 block_hash, height, n, _, _ = struct.unpack_from(HEADER, data)
-                at, rows = HEADER_BYTES, []
+                at, seen, rows = HEADER_BYTES, 0, []
                 while at < len(data):
                     (size,) = struct.unpack_from("<I", data, at)
                     if at + 4 + size > len(data):
                         raise ValueError("the snapshot ends within an entry")
                     txid, vout, value, h, coinbase = struct.unpack_from(ENTRY, data, at + 4)
-                    rows.append((block_hash.hex(), height, txid.hex(), vout, value, h, bool(coinbase), data[at + 4 + ENTRY_BYTES : at + 4 + size]))
+                    rows.append((block_hash.hex(), height, txid.hex(), vout, value, h, bool(coinbase), bytes(data[at + 4 + ENTRY_BYTES : at + 4 + size])))
                     at += 4 + size
-                if len(rows) != n:
-                    raise ValueError(f"the snapshot has {len(rows)} entries, its header says {n}")
-                names = ["block_hash", "snapshot_height", "txid", "vout", "value", "height", "coinbase", "script"]
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names=names)
+                    if len(rows) == BATCH_ENTRIES:
+                        yield made(rows)
+                        seen, rows = seen + len(rows), []
+                if seen + len(rows) != n:
+                    raise ValueError(f"the snapshot has {seen + len(rows)} entries, its header says {n}")
+                yield made(rows)
 
     return files.select("content").mapInArrow(run, "block_hash string, snapshot_height bigint, txid string, vout bigint, value bigint, height bigint, coinbase boolean, script binary")
 
@@ -74,28 +82,65 @@ def read_flat_blocks(files: DataFrame, magic: bytes = bytes.fromhex("f9beb4d9"))
 
 
 class Tree:
-    """A keyed relation as a log of versions in Parquet: writes append, reads take the latest version of a key, a null value is a deletion.
+    """A keyed relation as a log of batches in Parquet: writes append, reads take the latest version of a key, a null value is a deletion.
 
-    One write job is one atomic batch. compact() rewrites the log without what is outdated.
+    A batch is a folder `batch-N`, N being claimed by creating a file that must not exist yet, so that no two writers share a version. Readers see a
+    batch once its write job is complete, as a whole. compact() writes `base-N`, the live rows as of version N; readers start from the newest complete
+    base. It never changes what readers may have open: files go one compaction later. If a batch has a key twice, the largest value holds.
     """
 
     SCHEMA = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()), T.StructField("version", T.LongType())])
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        where = self._at(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
+    def _versions(self, kind: str) -> list[int]:
+        """Versions of a kind (batch, base or claim) in order; of batches and bases, those whose write is complete."""
+        folder = f"{self.path}/claims" if kind == "claim" else self.path
+        found = sorted(int(n.split("-")[1]) for n in self._names(folder) if n.startswith(f"{kind}-"))
+        return found if kind == "claim" else [v for v in found if self._fs.exists(self._at(f"{self.path}/{kind}-{v}/_SUCCESS"))]
+
+    def _parts(self) -> tuple[int, list[str]]:
+        """The newest complete base (0 for none), and the folders that the live rows follow from."""
+        base = max(self._versions("base"), default=0)
+        newer = [f"{self.path}/batch-{v}" for v in self._versions("batch") if v > base]
+        return base, ([f"{self.path}/base-{base}"] if base else []) + newer
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
 
     def _log(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], self.SCHEMA)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else empty
+        return self._read(self._parts()[1])
+
+    @staticmethod
+    def _live(log: DataFrame) -> DataFrame:
+        last = log.groupBy("key").agg(F.max_by(F.struct("value"), F.struct("version", "value")).alias("v"))
+        return last.select("key", "v.value").filter("value IS NOT NULL")
 
-    def _next(self) -> int:
-        return (self._log().agg(F.max("version")).first()[0] or 0) + 1
+    def claim(self) -> int:
+        """A version that no other writer has or gets."""
+        v = max([0, *self._versions("claim"), *self._versions("base")])
+        while True:
+            v += 1
+            try:
+                self._fs.create(self._at(f"{self.path}/claims/claim-{v}"), False).close()
+                return v
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+
+    def _write(self, rows: DataFrame, version: int, kind: str = "batch") -> None:
+        rows.select("key", "value", F.lit(version).cast("long").alias("version")).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/{kind}-{version}")
 
     def commit(self, rows: DataFrame) -> None:
         """Applies a batch (key, value); null values delete."""
-        rows.select("key", "value", F.lit(self._next()).cast("long").alias("version")).write.mode("append").parquet(self.path)
+        self._write(rows, self.claim())
 
     def insert(self, key: bytes, value: bytes) -> None:
         self.commit(self.spark.createDataFrame([(key, value)], "key binary, value binary"))
@@ -109,14 +154,13 @@ class Tree:
 
     def rows(self) -> DataFrame:
         """(key, value) of all live keys."""
-        last = self._log().groupBy("key").agg(F.max_by(F.struct("value"), "version").alias("v"))
-        return last.select("key", "v.value").filter("value IS NOT NULL")
+        return self._live(self._log())
 
     def iter(self) -> DataFrame:
         return self.rows().orderBy("key")
 
     def get(self, key: bytes) -> bytes | None:
-        found = self._log().filter(F.col("key") == F.lit(key)).orderBy(F.desc("version")).limit(1).collect()
+        found = self._log().filter(F.col("key") == F.lit(key)).orderBy(F.desc("version"), F.desc_nulls_last("value")).limit(1).collect()
         return bytes(found[0]["value"]) if found and found[0]["value"] is not None else None
 
     def get_many(self, keys: DataFrame) -> DataFrame:
@@ -130,13 +174,38 @@ class Tree:
         return self.rows().count()
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self.path)
+        """Empties the tree: a base without rows takes the place of all batches claimed before."""
+        self._write(self.spark.createDataFrame([], self.SCHEMA), self.claim(), "base")
+
+    def abandon(self) -> None:
+        """Gives up claims without a complete batch, as lost writers leave them; only while nobody writes."""
+        done = {*self._versions("batch"), *self._versions("base")}
+        base = self._parts()[0]
+        for v in self._versions("claim"):
+            if v > base and v not in done:
+                self._write(self.spark.createDataFrame([], self.SCHEMA), v)
 
     def compact(self) -> None:
-        kept = f"{shared_dir(self.spark)}/chainweave/tree-{uuid.uuid4().hex}"
-        self.rows().write.parquet(kept)
-        live = self.spark.read.parquet(kept)
-        live.select("key", "value", F.lit(1).cast("long").alias("version")).write.mode("overwrite").parquet(self.path)
+        """Writes the live rows as a new base, as of the last version before the first unfinished one, and drops what the base before had replaced."""
+        base = self._parts()[0]
+        done, upto = set(self._versions("batch")), base
+        for v in self._versions("claim"):
+            if v > base:
+                if v not in done:
+                    break
+                upto = v
+        if upto == base:
+            return
+        old = [f"{self.path}/base-{base}"] if base else []
+        live = self._live(self._read(old + [f"{self.path}/batch-{v}" for v in sorted(done) if base < v <= upto]))
+        self._write(live, upto, "base")
+        for name in self._names(self.path):
+            kind, _, v = name.partition("-")
+            if (kind == "batch" and int(v) <= base) or (kind == "base" and int(v) < base):
+                self._fs.delete(self._at(f"{self.path}/{name}"), True)
+        for v in self._versions("claim"):
+            if v <= base:
+                self._fs.delete(self._at(f"{self.path}/claims/claim-{v}"), False)
 
 
 def write_checkpoint(state: DataFrame, base: str, height: int) -> str:

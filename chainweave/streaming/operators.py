@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chainweave.operators.network import LIMITED
 from chainweave.plans.lineage import shared_dir
 from chainweave.registry import register
 from chainweave.views import Ledger
@@ -135,7 +136,7 @@ def _once(ledger: Ledger) -> DataFrame:
     return run_available(once_each(twice, ["event_id"]).select("event_id", "user_id", "event_type"), "append", "once")
 
 
-@register("stream_connection_limiter")
+@register("stream_connection_limiter", LIMITED)
 def _limited(ledger: Ledger) -> DataFrame:
     """As connection_limiter, with state instead of a fold."""
     events = event_stream(ledger.spark, ledger.sf_dir)

@@ -18,7 +18,7 @@ from chainweave.sources import snapshot
 DATA = "/root/testdata/sf0.001"
 SOME = [
     "block_stats", "tx_fees", "address_info", "utxo_live_at_height", "utxo_lookup_latest", "ops_compacted", "median_time_past", "block_template", "evict_hybrid", "ancestor_limits", "chain_tips", "invalidated_blocks", "peer_scores",
-    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many", "utxo_with_pending_writes", "block_from_either_source", "package_ids", "active_rules",
+    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many", "utxo_with_pending_writes", "block_from_either_source", "package_ids", "active_rules", "connection_limiter", "bandwidth_reset_windows", "stream_connection_limiter", "merkle_roots",
 ]
 
 
@@ -62,11 +62,19 @@ def test_limiter_edges(spark):
     rows = spark.createDataFrame([(1, 0, 0), (1, 5, 1), (1, 9, 2), (1, 10, 3), (1, 14, 4), (2, 3, 5)], "key long, at long, id long")
     got = {r["id"]: r["accepted"] for r in network.sliding_log(rows, 10, 2).collect()}
     assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: True}
+    odd = spark.createDataFrame([(None, 1, 0), (None, 1, 0), (None, None, 1), (3, None, 2), (3, 4, 3)], "key long, at long, id long")
+    got = sorted((str(r["key"]), str(r["at"]), r["accepted"]) for r in network.sliding_log(odd, 10, 1).collect())
+    assert got == [("3", "4", True), ("3", "None", False), ("None", "1", False), ("None", "1", True), ("None", "None", False)]
+    assert network.sliding_log(odd.limit(0), 10, 1).count() == 0
 
 
 def test_reset_windows(spark):
     rows = spark.createDataFrame([(1, 0, 0, 5), (1, 3599, 1, 7), (1, 3600, 2, 1), (1, 9000, 3, 2)], "key long, at long, id long, amount long")
     assert [(r["id"], r["start"], r["used"]) for r in network.reset_windows(rows, 3600).orderBy("id").collect()] == [(0, 0, 5), (1, 0, 12), (2, 3600, 1), (3, 9000, 2)]
+    odd = spark.createDataFrame([(None, 5, 0, None), (None, 6, 1, 2), (4, None, 2, 1)], "key long, at long, id long, amount long")
+    assert [(r["start"], r["used"]) for r in network.reset_windows(odd, 10).orderBy("id").collect()] == [(5, 0), (5, 2), (None, None)]
+    many = spark.range(30_000).selectExpr("id % 2 AS key", "id AS at", "id", "1L AS amount")
+    assert {tuple(r) for r in network.reset_windows(many, 10**6).groupBy("key", "start").agg(F.max("used")).collect()} == {(0, 0, 15_000), (1, 1, 15_000)}
 
 
 def test_as_of_equals_replay(spark):
@@ -197,6 +205,26 @@ def test_tree_and_checkpoint(spark, tmp_path):
     assert t.get(b"a") == b"2" and not t.contains(b"b")
     t.compact()
     assert [(bytes(r["key"]), bytes(r["value"])) for r in t.iter().collect()] == [(b"a", b"2"), (b"c", b"4"), (b"d", b"5")]
+    # A writer that claimed a version and hasn't finished: later batches count, compaction stops before it, and its batch takes its place.
+    rows = lambda *kv: spark.createDataFrame(list(kv), "key binary, value binary")
+    slow = t.claim()
+    t.insert(b"a", b"7")
+    t.compact()
+    assert t.get(b"a") == b"7" and t.len() == 3
+    t._write(rows((b"a", b"6"), (b"e", b"8")), slow)
+    assert t.get(b"a") == b"7" and t.get(b"e") == b"8"
+    t.compact()
+    t.compact()
+    t.commit(rows((b"f", b"1"), (b"f", b"2"), (b"f", None)))
+    assert t.get(b"f") == b"2" and t.len() == 5 and len(list((tmp_path / "tree").glob("base-*"))) == 2
+    # A claim whose writer is gone.
+    t.claim()
+    t.insert(b"g", b"1")
+    t.abandon()
+    t.compact()
+    assert t.len() == 6
+    t.clear()
+    assert t.len() == 0
     base = f"{tmp_path}/cp"
     assert snapshot.read_checkpoint(spark, base) is None
     for h in (1, 2, 3):
@@ -212,6 +240,12 @@ def test_snapshots_and_flat_files(spark, tmp_path):
     (tmp_path / "snap" / "a.dat").write_bytes(snapshot.encode_snapshot(b"\x09" * 32, 12, entries))
     got = snapshot.read_snapshots(spark.read.format("binaryFile").load(f"{tmp_path}/snap")).orderBy("vout").collect()
     assert [(bytes.fromhex(r["txid"]), r["vout"], r["value"], r["height"], r["coinbase"], bytes(r["script"])) for r in got] == entries and got[0]["snapshot_height"] == 12
+    many = [(bytes([i % 256, i // 256]) * 16, i, i, 7, False, b"") for i in range(30_000)]
+    (tmp_path / "snap" / "a.dat").write_bytes(snapshot.encode_snapshot(b"\x09" * 32, 12, many))
+    assert snapshot.read_snapshots(spark.read.format("binaryFile").load(f"{tmp_path}/snap")).agg(F.count("*"), F.sum("value")).first()[:] == (30_000, sum(range(30_000)))
+    (tmp_path / "snap" / "a.dat").write_bytes(snapshot.encode_snapshot(b"\x09" * 32, 12, many)[:-1])
+    with pytest.raises(Exception, match="ends within an entry"):
+        snapshot.read_snapshots(spark.read.format("binaryFile").load(f"{tmp_path}/snap")).count()
     head = struct.pack("<i32s32sIII", 1, b"\0" * 32, b"\1" * 32, 1231006505, 0x1D00FFFF, 2083236893)
     (tmp_path / "flat").mkdir()
     magic = bytes.fromhex("f9beb4d9")
