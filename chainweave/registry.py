@@ -45,9 +45,17 @@ def register_sql(name: str, sql: str, oracle: str | None = None) -> None:
     register(name, oracle)(lambda ledger: spark_sql(ledger, sql))
 
 
+def restate(name: str, oracle: str) -> None:
+    """Gives a registered query SQL over the base tables alone, in place of its own statement in the other engine's spelling."""
+    if name not in _queries:
+        raise KeyError(name)
+    _oracles[name] = oracle
+
+
 def _load() -> None:
     import chainweave.operators
     import chainweave.streaming  # noqa: F401
+    from chainweave.operators import restated  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

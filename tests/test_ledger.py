@@ -18,7 +18,7 @@ from chainweave.sources import snapshot
 DATA = "/root/testdata/sf0.001"
 SOME = [
     "block_stats", "tx_fees", "address_info", "utxo_live_at_height", "utxo_lookup_latest", "ops_compacted", "median_time_past", "block_template", "evict_hybrid", "ancestor_limits", "chain_tips", "invalidated_blocks", "peer_scores",
-    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many", "utxo_with_pending_writes", "block_from_either_source", "package_ids", "active_rules", "connection_limiter", "bandwidth_reset_windows", "stream_connection_limiter", "merkle_roots",
+    "merged_bans", "usable_addresses", "replacement_verdicts", "mempool_admission", "utxo_set_digest", "value_index", "commitments_every_144", "peer_latency_ema", "payment_states", "stream_window_counts", "stream_deduplicated", "stream_in_order", "kv_get_many", "utxo_with_pending_writes", "block_from_either_source", "package_ids", "active_rules", "connection_limiter", "bandwidth_reset_windows", "stream_connection_limiter", "merkle_roots", "hashrate_by_height", "linkage_check", "same_block_spends", "txoutset_info", "index_stats", "raw_mempool_verbose", "replayed_messages", "latest_metrics",
 ]
 
 
